@@ -1,0 +1 @@
+"""No streaming operators: every input of the analytics is a bounded table."""
