@@ -14,8 +14,8 @@ from guestsignal.operators.ranking import INTENT, per_profile
 from guestsignal.operators.scale import skew_safe_left_join
 from guestsignal.operators.temporal import shown_name
 
-# One total order everywhere: quality first, then the newest, then ids.
-QUOTE_ORDER = ("minus_quality", "minus_day", "review_id", "aspect")
+# One total order everywhere: quality first, then the newest, then ids and the text.
+QUOTE_ORDER = ("minus_quality", "minus_day", "review_id", "sentence_text", "aspect")
 
 
 def with_quality(instances: DataFrame) -> DataFrame:
@@ -52,7 +52,6 @@ def packed_quotes(quotes: DataFrame) -> DataFrame:
     """One row per hotel: at most (aspects in the taxonomy) x k quote structs."""
     quote = F.struct(
         *QUOTE_ORDER,
-        F.col("sentence_text").alias("quote"),
         F.date_format("review_date", "yyyy-MM-dd").alias("date"),
         "verified",
         rounded(F.col("polarity"), 3).alias("sentiment"),
@@ -67,13 +66,15 @@ def pick_quotes(quotes: Column, aspects: Column, settings: Settings = DEFAULTS)
     )
     unique = F.filter(
         wanted,
-        lambda q, i: ~F.exists(F.slice(wanted, F.lit(1), i), lambda e: e["quote"] == q["quote"]),
+        lambda q, i: ~F.exists(
+            F.slice(wanted, F.lit(1), i), lambda e: e["sentence_text"] == q["sentence_text"]
+        ),
     )
     return F.transform(
         F.slice(unique, 1, settings.quotes),
         lambda q: F.struct(
             q["review_id"].alias("review_id"),
-            q["quote"].alias("quote"),
+            q["sentence_text"].alias("quote"),
             q["aspect"].alias("aspect"),
             q["date"].alias("date"),
             q["verified"].alias("verified"),

@@ -13,7 +13,7 @@ from guestsignal.operators import contradictions as contra
 from guestsignal.operators import ingest, reports, scoring, temporal
 from guestsignal.operators.scale import materialise
 from guestsignal.plans import oracle_views as o
-from guestsignal.plans.registry import query, r, signed
+from guestsignal.plans.registry import query, r
 from guestsignal.sources import driver_views as v
 
 WITH = f"with {o.ORDERS}"
@@ -425,34 +425,7 @@ def trend_caveat(spark, sf):
 
 # --- contradictions -------------------------------------------------------------------
 
-_GROUPS = [("ver", "verified", None)] + [
-    (f"s{i}", f"traveler_type = '{s}'", s) for i, s in enumerate(v.ORDER_SEGMENTS)
-]
-
-
-def _group_columns() -> str:
-    return ", ".join(
-        f"count(*) filter ({test}) as {g}_n, count(*) filter (not ({test})) as {g}_m, "
-        f"sum(polarity * weight) filter ({test}) / sum(weight) filter ({test}) as {g}_a, "
-        f"sum(polarity * weight) filter (not ({test})) / sum(weight) filter (not ({test})) as {g}_b"
-        for g, test, _ in _GROUPS
-    )
-
-
-def _gap(g: str) -> str:
-    return f"case when {g}_n >= 5 and {g}_m >= 5 then {g}_a - {g}_b end"
-
-
-CONTRA_SQL = f"""{WITH}, spl as (
-  select hotel_id, aspect, count(*) as n,
-    sum(case when polarity >= 0.3e0 then weight else 0e0 end) as pos,
-    sum(case when polarity <= -0.3e0 then weight else 0e0 end) as neg, {_group_columns()}
-  from ins group by hotel_id, aspect),
-dis as (
-  select * from (
-    select *, {r('pos / (pos + neg)', 3)} as pos_share,
-      {r('2 * least(pos / (pos + neg), 1 - pos / (pos + neg))', 4)} as disagreement
-    from spl where pos + neg > 0 and n >= 10) where disagreement >= 0.40e0)"""
+CONTRA_SQL = f"{WITH}, {o.splits(v.ORDER_SEGMENTS)}"
 
 
 @query(
@@ -467,7 +440,7 @@ def disagreement(spark, sf):
 
 @query(
     "verified_split",
-    f"{CONTRA_SQL} select hotel_id, aspect, ver_n as n_verified, {r(_gap('ver'), 4)} as gap from spl",
+    f"{CONTRA_SQL} select hotel_id, aspect, ver_n as n_verified, {r(o.gap('ver'), 4)} as gap from spl",
 )
 def verified_split(spark, sf):
     return splits(spark, sf).select(
@@ -483,8 +456,8 @@ def verified_split(spark, sf):
     CONTRA_SQL
     + " union all ".join(
         f" select hotel_id, aspect, '{s}' as traveler_type, {g}_n as n_segment, "
-        f"{r(_gap(g), 4)} as gap from spl"
-        for g, _, s in _GROUPS
+        f"{r(o.gap(g), 4)} as gap from spl"
+        for g, _, s in o.groups(v.ORDER_SEGMENTS)
         if s
     ),
 )
@@ -492,37 +465,14 @@ def segment_split(spark, sf):
     return contra.segment_gaps(splits(spark, sf), v.ORDER_SEGMENTS)
 
 
-def _story_sql(g: str, segment: str | None) -> str:
-    if segment is None:
-        subject, up, down, other = "Verified reviewers are", "more positive", "more negative", "unverified"
-    else:
-        subject = segment[0].upper() + segment[1:].lower() + " travelers"
-        up, down, other = "rate it higher", "rate it lower", "for others"
-    return (
-        f"'{subject} ' || case when {g}_a - {g}_b > 0 then '{up}' else '{down}' end || ' (' || "
-        f"{signed(g + '_a')} || ' vs ' || {signed(g + '_b')} || ' {other}).'"
-    )
-
-
-def _candidates(limit: float) -> str:
-    return " union all ".join(
-        f"select hotel_id, aspect, round(abs({_gap(g)}), 10) as gap, {place} as place, "
-        f"{_story_sql(g, s)} as story from dis where abs({_gap(g)}) >= {limit}e0"
-        for place, (g, _, s) in enumerate(_GROUPS)
-    )
-
-
 # A lower gap than the default one, so that several candidates compete.
 SPLIT_GAP = 0.15
 
 
 @query(
     "contradictions",
-    f"""{CONTRA_SQL}, candidates as ({_candidates(SPLIT_GAP)}),
-    best as (select hotel_id, aspect, first(story order by gap desc, place desc) as resolution
-      from candidates group by hotel_id, aspect)
-    select hotel_id, aspect, n, pos_share, disagreement, resolution
-    from dis left join best using (hotel_id, aspect)""",
+    f"""{CONTRA_SQL}, {o.contradictions(v.ORDER_SEGMENTS, SPLIT_GAP)}
+    select hotel_id, aspect, n, pos_share, disagreement, resolution from contra""",
 )
 def contradictions(spark, sf):
     return contra.contradictions(
@@ -595,12 +545,10 @@ def season_matrix(spark, sf):
 
 @query(
     "hotel_contradictions",
-    f"""{CONTRA_SQL}, candidates as ({_candidates(DEFAULTS.min_split_gap)}),
-    best as (select hotel_id, aspect, first(story order by gap desc, place desc) as resolution
-      from candidates group by hotel_id, aspect)
+    f"""{CONTRA_SQL}, {o.contradictions(v.ORDER_SEGMENTS, DEFAULTS.min_split_gap)}
     select hotel_id, aspect, n, pos_share, disagreement,
       coalesce(resolution, 'Mixed views, no clear driver.') as resolution
-    from dis left join best using (hotel_id, aspect) where hotel_id = '{A_HOTEL}'
+    from contra where hotel_id = '{A_HOTEL}'
     order by disagreement desc, aspect limit 5""",
 )
 def hotel_contradictions(spark, sf):

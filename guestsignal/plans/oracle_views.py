@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from guestsignal.plans.registry import r
+from guestsignal.plans.registry import r, signed
 
 SEASON = (
     "case when month({d}) in (3,4,5) then 'spring' when month({d}) in (6,7,8) then 'summer' "
@@ -236,3 +236,165 @@ dins as (
   select *, recency_weight * trust_weight as weight, aspect = 'general' as is_general
   from (select sents.*, lab.polarity, unnest(lab.aspects) as aspect
     from sents join lab using (sentence_text)))"""
+
+
+def groups(segments: tuple[str, ...]) -> list[tuple[str, str, str | None]]:
+    """(prefix, membership test, segment name) of everything tried as an explanation."""
+    return [("ver", "verified", None)] + [
+        (f"s{i}", f"traveler_type = '{s}'", s) for i, s in enumerate(segments)
+    ]
+
+
+def gap(g: str) -> str:
+    return f"case when {g}_n >= 5 and {g}_m >= 5 then {g}_a - {g}_b end"
+
+
+def splits(segments: tuple[str, ...]) -> str:
+    """spl: sums and group means per cell of `ins`; dis: the contested cells."""
+    means = ", ".join(
+        f"count(*) filter ({test}) as {g}_n, count(*) filter (not ({test})) as {g}_m, "
+        f"sum(polarity * weight) filter ({test}) / sum(weight) filter ({test}) as {g}_a, "
+        f"sum(polarity * weight) filter (not ({test})) / sum(weight) filter (not ({test})) as {g}_b"
+        for g, test, _ in groups(segments)
+    )
+    share = "pos / (pos + neg)"
+    return f"""
+spl as (
+  select hotel_id, aspect, count(*) as n,
+    sum(case when polarity >= 0.3e0 then weight else 0e0 end) as pos,
+    sum(case when polarity <= -0.3e0 then weight else 0e0 end) as neg, {means}
+  from ins group by hotel_id, aspect),
+dis as (
+  select * from (
+    select *, {r(share, 3)} as pos_share,
+      {r(f'2 * least({share}, 1 - {share})', 4)} as disagreement
+    from spl where pos + neg > 0 and n >= 10) where disagreement >= 0.40e0)"""
+
+
+def _story(g: str, segment: str | None) -> str:
+    if segment is None:
+        subject, other = "Verified reviewers are", "unverified"
+        up, down = "more positive", "more negative"
+    else:
+        subject, other = segment[0].upper() + segment[1:].lower() + " travelers", "for others"
+        up, down = "rate it higher", "rate it lower"
+    return (
+        f"'{subject} ' || case when {g}_a - {g}_b > 0 then '{up}' else '{down}' end || ' (' || "
+        f"{signed(g + '_a')} || ' vs ' || {signed(g + '_b')} || ' {other}).'"
+    )
+
+
+def contradictions(segments: tuple[str, ...], limit: float) -> str:
+    candidates = " union all ".join(
+        f"select hotel_id, aspect, round(abs({gap(g)}), 10) as gap, {place} as place, "
+        f"{_story(g, s)} as story from dis where abs({gap(g)}) >= {limit}e0"
+        for place, (g, _, s) in enumerate(groups(segments))
+    )
+    return f"""
+candidates as ({candidates}),
+best as (
+  select hotel_id, aspect, first(story order by gap desc, place desc) as resolution
+  from candidates group by hotel_id, aspect),
+contra as (
+  select hotel_id, aspect, n, pos_share, disagreement, resolution
+  from dis left join best using (hotel_id, aspect))"""
+
+
+def profiles(rules) -> str:
+    """prof, rule(profile_id, aspect, place, weight) of the rule hits."""
+    hits = ", ".join(
+        f"{{'aspect': '{a}', 'place': {i}, 'hits': len(regexp_extract_all(description, '{p}'))}}"
+        for i, (a, p) in enumerate(rules.dimensions.items())
+    )
+    first = lambda pairs, default: (
+        "case "
+        + " ".join(f"when regexp_matches(description, '{p}') then '{n}'" for n, p in pairs)
+        + f" else '{default}' end"
+    )
+    return f"""
+prof as (
+  select *, {first(rules.travelers, rules.default_traveler)} as traveler_type,
+    {first(rules.budgets, rules.default_budget)} as budget
+  from (select cast(p_partkey as varchar) as profile_id, p_partkey,
+      lower(p_name || ' ' || p_type || ' ' || p_brand) as description from part)),
+rule as (
+  select profile_id, h.aspect as aspect, h.place as place, 1e0 + 0.25e0 * (h.hits - 1) as weight
+  from (select profile_id, unnest([{hits}]) as h from prof) where h.hits > 0)"""
+
+
+def backstop(aspects: tuple[str, ...], similarity: float) -> str:
+    """sims(profile_id, aspect, similarity) and dims: rule hits plus the backstop."""
+    names = ", ".join(f"'{a}'" for a in aspects)
+    return f"""
+mean as (
+  select label, place, avg(x) as x from (
+    select label, unnest(embedding)::double as x, unnest(range(len(embedding))) as place
+    from embeddings) group by label, place),
+centre as (
+  select ([{names}])[1 + label % {len(aspects)}] as aspect, v,
+    sqrt(list_dot_product(v, v)) as size
+  from (select label, list(x order by place) as v from mean group by label)),
+sims as (
+  select profile_id, aspect, max(list_dot_product(v, embedding::double[]) / size) as similarity
+  from prof join embeddings on vec_id = p_partkey cross join centre group by profile_id, aspect),
+near as (
+  select * from sims where similarity >= {similarity}e0 and profile_id not in (
+    select profile_id from rule group by profile_id having count(*) >= 2)),
+dims as (
+  select coalesce(rule.profile_id, near.profile_id) as profile_id,
+    coalesce(rule.aspect, near.aspect) as aspect,
+    coalesce(place, 1000 + list_position([{names}], near.aspect)) as place,
+    greatest(weight, 0.6e0 * similarity) as weight
+  from rule full join near on rule.profile_id = near.profile_id and rule.aspect = near.aspect)"""
+
+
+def weights(source: str) -> str:
+    """top: the kept dims with normalised weights; want: one row per profile."""
+    return f"""
+top as (
+  select profile_id, aspect, pos, {r('weight / sum(weight) over (partition by profile_id)', 4)}
+    as weight
+  from (select *, row_number() over (partition by profile_id order by weight desc, place) as pos
+    from {source}) where pos <= 5),
+want as (
+  select prof.*, coalesce(shape, '') as dims, aspects from prof left join (
+    select profile_id, string_agg(aspect || ':' || printf('%.4f', weight), '|' order by pos)
+      as shape, list(aspect order by pos) as aspects
+    from top group by profile_id) using (profile_id))"""
+
+
+def ranking(rules, min_evidence: float, penalties: str) -> str:
+    """rank(traveler_type, budget, dims, hotel, composite, place): five best per intent."""
+    fit = "case budget " + " ".join(
+        f"when '{b}' then case hotel_category "
+        + " ".join(f"when '{c}' then {x}e0" for c, x in by.items())
+        + " else 0e0 end"
+        for b, by in rules.category_fit.items()
+    ) + " else 0e0 end"
+    return f"""
+pen as ({penalties}),
+intents as (
+  select traveler_type, budget, dims, min(profile_id) as sample from want group by all),
+idims as (
+  select intents.*, aspect, weight, pos from intents left join top on sample = profile_id),
+pairs as (
+  select i.traveler_type, i.budget, i.dims, h.hotel_id, any_value(h.hotel_name) as hotel_name,
+    any_value(h.hotel_category) as hotel_category, any_value(h.rating_norm) as rating_norm,
+    coalesce(sum(i.weight * coalesce(c.score, 0)), 0e0) as fit,
+    coalesce(sum(pen.penalty), 0e0) as penalty,
+    bool_or(i.pos is null or (i.pos = 1 and c.evidence_weight >= {min_evidence}e0)) as eligible,
+    list(struct_pack(aspect := i.aspect, score := coalesce(c.score, 0)) order by i.pos)
+      filter (i.aspect is not null) as contributions
+  from idims i cross join hotels h
+    left join cond c on c.hotel_id = h.hotel_id and c.aspect = i.aspect
+      and c.traveler_type = i.traveler_type
+    left join pen on pen.hotel_id = h.hotel_id and pen.aspect = i.aspect
+  group by i.traveler_type, i.budget, i.dims, h.hotel_id),
+rank as (
+  select * from (
+    select *, row_number() over (partition by traveler_type, budget, dims
+      order by composite desc, hotel_id) as place
+    from (select *, {r('raw', 4)} as composite, {r('(raw + 1) * 2.5e0', 3)} as display
+      from (select *, fit + 0.15e0 * rating_norm + 0.1e0 * ({fit}) - penalty as raw from pairs
+        where eligible)))
+  where place <= 5)"""
