@@ -29,18 +29,14 @@ def split_sentences(text: Column) -> Column:
     return F.when(F.size(parts) == 0, F.array(stripped)).otherwise(parts)
 
 
-def spaced_words(text: Column) -> Column:
-    """Lower-case ASCII words, each with a blank of its own on both sides.
+def has_content(text: Column) -> Column:
+    """clean_text(text) is not empty; stops at the first character that counts."""
+    return F.regexp_like(text, F.lit(WHITESPACE.replace("[", "[^", 1)))
 
-    Counting ' word ' in it is a whole-word count that does not depend on how a regex
-    engine sees a boundary next to an accented letter.
-    """
-    words = F.regexp_replace(F.lower(text), "[^a-z]+", "  ")
-    return F.concat(F.lit(" "), words, F.lit(" "))
 
-
-def count_words(spaced: Column, words: tuple[str, ...]) -> Column:
-    return F.regexp_count(spaced, F.lit(f" ({'|'.join(words)}) "))
+def words(text: Column) -> Column:
+    """Lower-case ASCII words; everything else separates them in any language."""
+    return F.split(F.lower(text), "[^a-z]+")
 
 
 def capitalised(text: Column) -> Column:

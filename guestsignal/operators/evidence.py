@@ -40,8 +40,13 @@ def label_in_place(
 
 
 def explode_aspects(labelled: DataFrame) -> DataFrame:
+    """One row per aspect; every sentence has at least the filler label.
+
+    The outer form changes nothing about the rows. The plain one makes Spark infer a
+    filter on the array's size, and with that compute all labels twice.
+    """
     kept = [c for c in labelled.columns if c != "aspects"]
-    return labelled.select(*kept, F.explode("aspects").alias("aspect"))
+    return labelled.select(*kept, F.explode_outer("aspects").alias("aspect"))
 
 
 def add_weight(exploded: DataFrame) -> DataFrame:

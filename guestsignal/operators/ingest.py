@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from guestsignal.config import DEFAULTS, UNKNOWN_SEGMENT, Settings
 from guestsignal.functions.bands import season_of
-from guestsignal.functions.text import clean_text
+from guestsignal.functions.text import clean_text, has_content
 
 REQUIRED_REVIEW_COLUMNS = (
     "review_id",
@@ -54,6 +54,7 @@ def _typed(raw: DataFrame) -> DataFrame:
     number = F.col("rating").try_cast("double")
     return fill_segment(raw).withColumns(
         {
+            "_filled": F.coalesce(has_content(F.col("review_text")), F.lit(False)),
             "review_text": clean_text(F.coalesce(F.col("review_text"), F.lit(""))),
             "_rating": F.when(number.between(1, 5), number),
             "_date": F.col("review_date").cast("string").try_cast("timestamp").cast("date"),
@@ -66,7 +67,7 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 def _usable() -> Column:
     return (
-        (F.length("review_text") > 0)
+        F.col("_filled")
         & F.col("_rating").isNotNull()
         & F.col("_date").isNotNull()
     )
@@ -80,7 +81,7 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
         .filter(_usable())
         .withColumn("rating", F.col("_rating").cast("int"))
         .withColumn("review_date", F.col("_date"))
-        .drop("_rating", "_date")
+        .drop("_filled", "_rating", "_date")
     )
     return add_calendar(kept)
 
@@ -90,7 +91,7 @@ def rejected_reviews(raw: DataFrame) -> DataFrame:
     require_columns(raw, REQUIRED_REVIEW_COLUMNS, "reviews")
     carried = raw.withColumn("_raw", F.struct(*raw.columns))
     reason = (
-        F.when(F.length("review_text") == 0, "empty text")
+        F.when(~F.col("_filled"), "empty text")
         .when(F.col("_rating").isNull(), "rating outside 1..5")
         .otherwise("unreadable date")
     )

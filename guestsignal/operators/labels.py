@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from guestsignal.config import DEFAULTS, Settings
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.taxonomy import ASPECT_KEYS, GENERAL, Lexicon
-from guestsignal.functions.text import count_words, spaced_words
+from guestsignal.functions.text import words
 from guestsignal.operators.scale import broadcast_if_small
 
 # A scorer adds aspect_scores (map aspect -> [0, 1]) and sentiment (map name -> [0, 1]).
@@ -20,23 +22,36 @@ SCORED_FIELDS = "aspect_scores map<string,double>, sentiment map<string,double>"
 
 
 def lexicon_scorer(lexicon: Lexicon) -> Scorer:
-    """Word-list scorer made of built-in expressions: h hits score h / (h + 1)."""
+    """Word-list scorer made of built-in expressions: h hits score h / (h + 1).
+
+    One pass cuts the sentence into words and keeps those any list knows; the lists are
+    counted on the few words that are left.
+    """
+    lists = {**lexicon.aspects, "+": lexicon.positive, "-": lexicon.negative}
+    known = sorted({word for one in lists.values() for word in one})
 
     def score(sentences: DataFrame) -> DataFrame:
-        spaced = sentences.withColumn("_spaced", spaced_words(F.col("sentence_text")))
-        words = F.col("_spaced")
-        hits = {aspect: count_words(words, lexicon.aspects[aspect]) for aspect in lexicon.aspects}
-        good, bad = count_words(words, lexicon.positive), count_words(words, lexicon.negative)
+        kept = sentences.withColumn(
+            "_words", F.filter(words(F.col("sentence_text")), lambda w: w.isin(*known))
+        )
+        found = lambda one: F.size(F.filter("_words", lambda w: w.isin(*one)))
+        counts = {f"_n{i}": found(one) for i, one in enumerate(lists.values())}
+        hits = dict(zip(lists, (F.col(c) for c in counts)))
+        good, bad = hits.pop("+"), hits.pop("-")
         scores = [part for a, n in hits.items() for part in (F.lit(a), n / (n + 1.0))]
-        return spaced.withColumns(
-            {
-                "aspect_scores": F.create_map(*scores),
-                "sentiment": F.create_map(
-                    F.lit("positive"), good / (good + bad + 1.0),
-                    F.lit("negative"), bad / (good + bad + 1.0),
-                ),
-            }
-        ).drop("_spaced")
+        return (
+            kept.withColumns(counts)
+            .withColumns(
+                {
+                    "aspect_scores": F.create_map(*scores),
+                    "sentiment": F.create_map(
+                        F.lit("positive"), good / (good + bad + 1.0),
+                        F.lit("negative"), bad / (good + bad + 1.0),
+                    ),
+                }
+            )
+            .drop("_words", *counts)
+        )
 
     return score
 
@@ -61,10 +76,11 @@ def threshold_aspects(
     scores: Column, keys: tuple[str, ...] = ASPECT_KEYS, threshold: float = 0.50
 ) -> Column:
     """Aspects at or above the threshold in taxonomy order, else the filler label."""
-    present = F.array_compact(
-        F.array(*[F.when(F.try_element_at(scores, F.lit(k)) >= threshold, k) for k in keys])
+    reached = {k: F.try_element_at(scores, F.lit(k)) >= threshold for k in keys}
+    nothing = ~reduce(or_, [F.coalesce(hit, F.lit(False)) for hit in reached.values()])
+    return F.array_compact(
+        F.array(*[F.when(hit, k) for k, hit in reached.items()], F.when(nothing, GENERAL))
     )
-    return F.when(F.size(present) == 0, F.array(F.lit(GENERAL))).otherwise(present)
 
 
 def polarity_of(sentiment: Column) -> Column:

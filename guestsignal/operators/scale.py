@@ -51,7 +51,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least `share` of all rows (at most 1/share rows come back)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t")).scalar()
+    total = counts.agg(F.sum("_n").alias("_t")).scalar()
     return counts.filter(F.col("_n") >= total * F.lit(share)).select(key)
 
 

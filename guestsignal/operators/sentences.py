@@ -27,9 +27,11 @@ REVIEW_COLUMNS = (
 def sentence_instances(
     reviews: DataFrame, carry: tuple[str, ...] = REVIEW_COLUMNS
 ) -> DataFrame:
+    """One row per sentence. A text always has one, so the outer form only keeps Spark from
+    splitting every text a second time for an inferred size filter."""
     return reviews.select(
         *carry,
-        F.posexplode(split_sentences(F.col("review_text"))).alias(
+        F.posexplode_outer(split_sentences(F.col("review_text"))).alias(
             "sentence_pos", "sentence_text"
         ),
     )

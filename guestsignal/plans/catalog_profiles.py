@@ -339,8 +339,8 @@ SPLIT = replace(DEFAULTS, min_split_gap=CONTRA_GAP)
 
 
 def explained(spark, sf, people):
-    instances = v.document_instances(spark, sf)
-    raw = materialise(scoring.raw_segment_sums(instances))
+    instances = materialise(v.document_instances(spark, sf))
+    raw = scoring.raw_segment_sums(instances)
     conditioned = scoring.conditioned_scores(
         scoring.segment_sums(raw), scoring.aspect_priors(raw), v.DOCUMENT_SEGMENTS
     )

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guestsignal.config import UNKNOWN_SEGMENT
-from guestsignal.functions.numbers import rounded
 from guestsignal.functions.vectors import norm
 from guestsignal.functions.taxonomy import Lexicon, ProfileRules
 from guestsignal.operators import evidence, ingest, labels, sentences
@@ -83,7 +82,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews and their only aspect instance in one row, not yet weighted."""
-    items = table(spark, sf_dir, "lineitem")
+    items = spread(table(spark, sf_dir, "lineitem"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     suppliers = table(spark, sf_dir, "supplier").join(
         table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
@@ -100,7 +99,7 @@ def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
             "hotel_category"
         ),
         F.col("l_returnflag").alias("aspect"),
-        rounded((F.col("l_discount") - 0.05) * 20, 1).alias("polarity"),
+        (F.rint((F.col("l_discount") - 0.05) * 100) / 5.0 + 0.0).alias("polarity"),
         (1 + F.floor("l_quantity").cast("int") % 5).alias("rating"),
         F.to_date("l_shipdate").alias("review_date"),
         (F.col("l_linestatus") == "F").alias("verified"),
