@@ -23,6 +23,7 @@ from guestsignal.operators.scale import keyed_bucket, materialise, skew_safe_lef
 
 HOTELS_PER_BLOCK = 8_192
 INTENTS_PER_BLOCK = 8_192
+NO_TOP_DIM = -1
 _CHUNK = 256
 
 INTENT = ("traveler_type", "budget", "dim_weights")
@@ -131,7 +132,7 @@ def _rank_block(
         composite = scores @ weights.T + base - penalties @ (weights > 0).T.astype(float)
         key = _half_up_units(composite) * len(ids) - places[:, None]
         top = chunk["top_dim"].to_numpy()
-        gated = top >= 0
+        gated = top != NO_TOP_DIM
         floor = evidence[:, np.where(gated, top, 0)] < min_evidence
         key = np.where(floor & gated[None, :], lowest, key)
         best = min(top_n, len(ids))
@@ -195,7 +196,11 @@ def rank_intents(
         "intent",
         "budget",
         F.array(*[weight_of(a) for a in aspects]).alias("weights"),
-        F.coalesce(F.array_position(order, first).cast("int") - 1, F.lit(-1)).alias("top_dim"),
+        (F.array_position(order, first) - 1).cast("int").alias("top_dim"),
+    )
+    # No dimension at all opens every hotel; one that nobody wrote about opens none.
+    right = right.filter(F.coalesce(F.col("top_dim"), F.lit(0)) >= 0).fillna(
+        {"top_dim": NO_TOP_DIM}
     )
     keys = ["traveler_type", "hotel_block", "intent_block"]
     width, top_n, floor = len(aspects), settings.top_n, settings.min_evidence
