@@ -61,8 +61,8 @@ def skew_safe_left_join(
     """Left join on a string key that may be very frequent in `big`, unique on the other side.
 
     Rows of a hot key get their match from a broadcast of the hot matches alone, which
-    has at most 1/share rows whatever the size of either table. In the shuffle join
-    they carry a key made from their own row id, so they spread over all tasks.
+    has at most 1/share rows whatever the size of either table. In the shuffle join they, and rows without a key, carry one made from their own row id and spread over
+    all tasks.
     """
     payload = [c for c in unique_side.columns if c != key]
     packed = unique_side.select(F.col(key), F.struct(*payload).alias("_match"))
@@ -70,9 +70,10 @@ def skew_safe_left_join(
         F.broadcast(hot_keys(big, key, share)), key, "left_semi"
     ).withColumnRenamed("_match", "_hot")
     spread = F.concat(F.lit("\u0000"), F.xxhash64(row_id).cast("string"))
+    needs_shuffle = F.col("_hot").isNull() & F.col(key).isNotNull()
     return (
         big.join(F.broadcast(hot), key, "left")
-        .withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+        .withColumn("_key", F.when(needs_shuffle, F.col(key)).otherwise(spread))
         .join(packed.withColumnRenamed(key, "_key"), "_key", "left")
         .withColumn("_found", F.coalesce("_hot", "_match"))
         .select(*big.columns, *[F.col("_found")[c].alias(c) for c in payload])

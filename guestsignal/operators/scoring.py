@@ -126,15 +126,29 @@ def conditioned_scores(
 
 
 def hotel_summary(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Identity and shrunk overall rating per hotel; the global mean is a scalar subquery."""
+    """Identity and shrunk overall rating per hotel; the global mean is a scalar subquery.
+
+    The name and category most of its reviews give a hotel are its own. They are group
+    keys at first, so the pass over the reviews is a hash aggregation of numbers; only
+    its small result is sorted for the pick.
+    """
     overall = reviews.agg(F.avg("rating").alias("g")).scalar()
     k = settings.shrinkage
-    grouped = reviews.groupBy("hotel_id").agg(
-        F.min_by("hotel_name", "review_id").alias("hotel_name"),
-        F.min_by("hotel_category", "review_id").alias("hotel_category"),
-        F.count(F.lit(1)).alias("n_reviews"),
-        F.sum("rating").alias("_sum"),
-        F.avg(F.col("verified").cast("int")).alias("_verified"),
+    named = reviews.groupBy("hotel_id", "hotel_name", "hotel_category").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("rating").alias("_r"),
+        F.count_if("verified").alias("_v"),
+    )
+    identity = F.struct("hotel_name", "hotel_category")
+    grouped = (
+        named.groupBy("hotel_id")
+        .agg(
+            F.min_by(identity, F.struct(-F.col("_n"), identity)).alias("_identity"),
+            F.sum("_n").alias("n_reviews"),
+            F.sum("_r").alias("_sum"),
+            (F.sum("_v") / F.sum("_n")).alias("_verified"),
+        )
+        .select("*", "_identity.*")
     )
     shrunk = (F.col("_sum") + k * overall) / (F.col("n_reviews") + k)
     return grouped.select(

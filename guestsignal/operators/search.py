@@ -42,6 +42,25 @@ def filtered_pool(
     return pool
 
 
+def search_index(instances: DataFrame) -> DataFrame:
+    """The newest instance of every sentence per hotel and aspect, to search again and again.
+
+    Whatever the filters, the instance a search would show is among these.
+    """
+    return _newest(instances, ["sentence_text", "hotel_id", "aspect"])
+
+
+def _newest(instances: DataFrame, keys: list[str]) -> DataFrame:
+    order = W.partitionBy(*keys).orderBy(
+        F.col("recency_weight").desc(), F.col("review_id"), F.col("aspect")
+    )
+    return (
+        instances.withColumn("_copy", F.row_number().over(order))
+        .filter("_copy = 1")
+        .drop("_copy")
+    )
+
+
 def search(
     instances: DataFrame,
     embeddings: DataFrame,
@@ -52,18 +71,11 @@ def search(
 ) -> DataFrame:
     """The k most similar distinct sentences, each with its most recent instance.
 
-    Instances are first reduced to one per sentence (group-limited in front of the
+    `instances` may be the aspect instances or, cheaper, their search_index. They are first reduced to one per sentence (group-limited in front of the
     shuffle), then meet the scores one to one, so a frequent sentence cannot skew the
     join. The final sort keeps k rows per task.
     """
-    newest = W.partitionBy("sentence_text").orderBy(
-        F.col("recency_weight").desc(), F.col("review_id"), F.col("aspect")
-    )
-    one_each = (
-        filtered_pool(instances, hotel_id, aspect)
-        .withColumn("_copy", F.row_number().over(newest))
-        .filter("_copy = 1")
-    )
+    one_each = _newest(filtered_pool(instances, hotel_id, aspect), ["sentence_text"])
     scores = sentence_similarity(embeddings, query).filter(F.col("similarity") > 0)
     return (
         one_each.join(scores, "sentence_text")

@@ -20,7 +20,7 @@ from guestsignal.functions.taxonomy import (
 )
 from guestsignal.operators import contradictions as contra
 from guestsignal.operators import evidence, explain, ingest, labels, profiles as people
-from guestsignal.operators import ranking, scoring, sentences, temporal
+from guestsignal.operators import ranking, scoring, search, sentences, temporal
 from guestsignal.sources import files
 
 
@@ -114,6 +114,7 @@ def build(
     tables["contradictions"] = keep(
         "contradictions", contra.contradictions(splits, settings=settings)
     )
+    tables["search_index"] = keep("search_index", search.search_index(instances))
     enriched = people.enrich_profiles(
         ingest.load_profiles(raw_profiles), rules, descriptors, settings=settings
     )

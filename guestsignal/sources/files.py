@@ -27,6 +27,7 @@ ARTIFACTS = (
     "monthly",
     "drift",
     "contradictions",
+    "search_index",
     "profiles",
 )
 # Partitioned by year: scans of a time range skip the rest of the corpus.
@@ -53,8 +54,8 @@ def read_reviews(
 ) -> DataFrame:
     """JSON Lines (splittable), one JSON array per file (`json_array`, not splittable) or Parquet.
 
-    With a fixed schema an absent JSON field would read as null, so the fields of the
-    file itself are checked first, from a bounded sample of its records.
+    With a fixed schema an absent JSON field reads as null, so each required field is
+    looked for first; the search stops at the first record that has it.
     """
     raw = _read_records(spark, path, schemas.RAW_REVIEWS, fmt, json_array)
     if fmt == "json":
@@ -78,7 +79,7 @@ def _require_json_fields(
     schema = ", ".join(f"`{c}` string" for c in required)
     records = spark.read.schema(schema).option("multiLine", json_array).json(path)
     for column in required:
-        if not records.filter(F.col(column).isNotNull()).limit(1).count():
+        if records.filter(F.col(column).isNotNull()).isEmpty():
             raise ValueError(f"{what} missing required columns: ['{column}']")
 
 

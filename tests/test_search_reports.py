@@ -23,6 +23,11 @@ def test_search(spark):
     found = search.search(instances, vectors, query).collect()
     assert [(r.review_id, r.similarity) for r in found] == [("2", 1.0), ("4", 0.6)]
     ids = lambda **f: [r.review_id for r in search.search(instances, vectors, query, **f).collect()]
+    index = search.search_index(instances)
+    assert index.count() == 5
+    for filters in ({}, {"hotel_id": "g"}, {"aspect": "general"}):
+        assert search.search(index, vectors, query, **filters).collect() == search.search(
+            instances, vectors, query, **filters).collect()
     assert ids(hotel_id="g") == ["3"] and ids(aspect="b") == ["3"] and ids(k=1) == ["2"]
 
 
