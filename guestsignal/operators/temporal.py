@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -54,15 +57,21 @@ def test_values(reviews: DataFrame, instances: DataFrame) -> DataFrame:
     return polarity.unionByName(rating)
 
 
-def tie_blocks(values: DataFrame) -> DataFrame:
+def tie_blocks(values: DataFrame, with_day: bool = True) -> DataFrame:
     """Equal (cell, season, day, value) rows as one row with a count.
 
     The one shuffle of raw rows, with partial aggregation in front of it. All statistics
-    below read these blocks; the day fixes the season, so both tests can share them.
+    below read these blocks; the day fixes the season, so both tests can share them. The
+    null filter is the one the later joins imply: with it up here, all readers have the
+    same plan below the shuffle and Spark runs it once.
     """
-    return values.groupBy(
-        *CELL, "season", F.col("review_date").alias("day"), "value"
-    ).agg(F.count(F.lit(1)).alias("t"))
+    complete = [F.col(c).isNotNull() for c in (*CELL, "value", "review_date")]
+    day = [F.col("review_date").alias("day")] if with_day else []
+    return (
+        values.filter(reduce(and_, complete))
+        .groupBy(*CELL, "season", *day, "value")
+        .agg(F.count(F.lit(1)).alias("t"))
+    )
 
 
 def ordered_bucket(number: Column, per_octave: int = 16) -> Column:
@@ -231,6 +240,23 @@ def _trend(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
+def _kw_p() -> Column:
+    return chi2_tail_udf("kw_h", (F.col("n_seasons") - 1).cast("double"))
+
+
+def seasonal_tests(
+    values: DataFrame,
+    seasons: tuple[str, ...] = SEASON_ORDER,
+    settings: Settings = DEFAULTS,
+    bounded_values: bool = True,
+) -> DataFrame:
+    """The seasonal half of drift_tests alone; it does not need the days."""
+    blocks = tie_blocks(values, with_day=False)
+    ranks = _value_ranks(blocks, seasons, settings.min_per_season, bounded_values)
+    found = _seasonal(ranks, seasons, settings.min_per_season)
+    return found.withColumn("kw_p", _kw_p()).drop("n_values", "value_ss")
+
+
 def drift_tests(
     values: DataFrame,
     seasons: tuple[str, ...] = SEASON_ORDER,
@@ -248,7 +274,7 @@ def drift_tests(
     rho = F.when(enough & (spread > 0), F.round(clipped, 12))
     return (
         both.withColumn("_rho", rho)
-        .withColumn("kw_p", chi2_tail_udf("kw_h", (F.col("n_seasons") - 1).cast("double")))
+        .withColumn("kw_p", _kw_p())
         .withColumn("trend_p", t_two_sided_udf("_rho", F.col("n").cast("double")))
         .select(
             *CELL,

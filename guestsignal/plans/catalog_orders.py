@@ -42,6 +42,10 @@ def tests(spark, sf):
     return temporal.drift_tests(values(spark, sf))
 
 
+def seasonal_tests(spark, sf):
+    return temporal.seasonal_tests(values(spark, sf))
+
+
 def raw_tier_drift(spark, sf):
     """Tiers of uncorrected p-values, so that reports and penalties have something to show."""
     return tests(spark, sf).withColumns(
@@ -297,7 +301,7 @@ def monthly_series(spark, sf):
     f"{WITH_TESTS} select hotel_id, aspect, best_season, worst_season, season_gap from tests",
 )
 def season_extremes(spark, sf):
-    return tests(spark, sf).select(
+    return seasonal_tests(spark, sf).select(
         "hotel_id", "aspect", "best_season", "worst_season", "season_gap"
     )
 
@@ -314,7 +318,7 @@ SPEARMAN_SQL = (
 
 @query("kruskal_wallis", f"{WITH_TESTS} {KW_SQL}")
 def kruskal_wallis(spark, sf):
-    return tests(spark, sf).select(
+    return seasonal_tests(spark, sf).select(
         "hotel_id", "aspect", F.col("n_seasons").cast("bigint").alias("k"), _p("kw_h"), _p("kw_p")
     )
 
@@ -333,8 +337,8 @@ EVENT_VALS = """with vals as (
 EVENT_TESTS = f"{EVENT_VALS}, {o.drift_tests('cast(season as int)', minimum=3)}"
 
 
-def event_tests(spark, sf):
-    return temporal.drift_tests(
+def event_tests(spark, sf, tests_of=temporal.drift_tests):
+    return tests_of(
         v.event_values(spark, sf),
         v.WEEKDAYS,
         replace(DEFAULTS, min_per_season=3),
@@ -344,7 +348,7 @@ def event_tests(spark, sf):
 
 @query("kruskal_wallis_events", f"{EVENT_TESTS} {KW_SQL}")
 def kruskal_wallis_events(spark, sf):
-    return event_tests(spark, sf).select(
+    return event_tests(spark, sf, temporal.seasonal_tests).select(
         "hotel_id", "aspect", F.col("n_seasons").cast("bigint").alias("k"), _p("kw_h"), _p("kw_p")
     )
 
