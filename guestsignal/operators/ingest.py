@@ -104,8 +104,10 @@ def dedupe_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     The `= 1` filter becomes a group limit in front of the shuffle, so a key with very
     many copies sends one row per map task, not all copies, to one reducer.
     """
-    first = W.partitionBy(key).orderBy(*order)
-    return df.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
+    ranks = {f"_order{i}": column for i, column in enumerate(order)}
+    first = W.partitionBy(key).orderBy(*ranks)
+    numbered = df.withColumns(ranks).withColumn("_first", F.row_number().over(first))
+    return numbered.filter("_first = 1").drop("_first", *ranks)
 
 
 def add_recency(
@@ -139,11 +141,14 @@ def load_reviews(
 ) -> DataFrame:
     """Validate, deduplicate by review_id, then weight.
 
-    `order` says which of several rows with one id comes first; the default is a total
-    order over everything but the key.
+    `order` says which of several rows with one id comes first. By default the oldest
+    does, then the smaller hotel id, rating and hash of the whole row; rows that still
+    tie are copies. The hash keeps the texts out of the sort, and out of the shuffle of
+    the second, narrow pass that finds the newest date.
     """
     cleaned = clean_reviews(raw)
-    ranking = order or [F.col(c) for c in sorted(cleaned.columns) if c != "review_id"]
+    whole = F.xxhash64(*sorted(cleaned.columns))
+    ranking = order or [F.col("review_date"), F.col("hotel_id"), F.col("rating"), whole]
     unique = dedupe_first(cleaned, "review_id", ranking)
     return add_trust(add_recency(unique, settings), settings)
 

@@ -52,7 +52,8 @@ def recommend(
         rules.category_fit,
         settings,
     )
-    quotes = explain.best_quotes(tables["instances"], settings)
+    relevant = explain.of_picked_hotels(tables["instances"], described)
+    quotes = explain.best_quotes(relevant, settings)
     explained = explain.explained_picks(
         described, quotes, tables["contradictions"], names, settings
     )
@@ -72,7 +73,8 @@ def build(
     """Run everything and leave the artifacts under `root`.
 
     Without a scorer the word-list labeller runs in place. A scorer (a model) sees each
-    distinct sentence once, and only those an earlier run has not labelled.
+    distinct sentence once, and only those an earlier run has not labelled; the sentences
+    are stored then, as four steps read them.
     """
     spark = raw_reviews.sparkSession
     keep = lambda name, df: files.write_artifact(df, root, name)
@@ -85,6 +87,7 @@ def build(
             pieces, labels.lexicon_scorer(DEFAULT_LEXICON), overrides, settings=settings
         )
     else:
+        pieces = keep("sentences", pieces)
         stored = f"{root}/labels_auto"
         known = spark.read.parquet(stored) if files.exists(spark, stored) else None
         missing = (

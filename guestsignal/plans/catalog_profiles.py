@@ -356,7 +356,8 @@ def explained(spark, sf, people):
     contested = contra.contradictions(
         contra.cell_splits(instances, v.DOCUMENT_SEGMENTS), v.DOCUMENT_SEGMENTS, SPLIT
     )
-    return explain.explained_picks(described, explain.best_quotes(instances), contested)
+    quotes = explain.best_quotes(explain.of_picked_hotels(instances, described))
+    return explain.explained_picks(described, quotes, contested)
 
 
 def intent_picks(spark, sf):
