@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -23,6 +27,28 @@ RESULT_COLUMNS = (
 )
 
 
+def embed_sentences(
+    sentences: DataFrame, load: Callable[[], Callable[[pd.Series], list]]
+) -> DataFrame:
+    """Hook for an encoder of the caller's over distinct sentences: `load` runs once per
+    task and returns a function from a series of sentences to their vectors, which are
+    stored with unit length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = load()
+        for batch in batches:
+            vectors = np.asarray(list(encode(batch["sentence_text"])), dtype=np.float32)
+            lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
+            unit = vectors / np.where(lengths > 0, lengths, 1.0)
+            yield pd.DataFrame(
+                {"sentence_text": batch["sentence_text"].to_numpy(), "embedding": list(unit)}
+            )
+
+    return sentences.select("sentence_text").mapInPandas(
+        run, "sentence_text string, embedding array<float>"
+    )
+
+
 def sentence_similarity(embeddings: DataFrame, query: Column, name: str = "sentence_text") -> DataFrame:
     """Dot product of every (unit) sentence vector with the query, a literal array or a
     scalar subquery; a narrow projection either way."""

@@ -7,6 +7,8 @@ scans just the columns it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,7 @@ def build(
     overrides: DataFrame | None = None,
     scorer: labels.Scorer | None = None,
     descriptors: DataFrame | None = None,
+    embedder: Callable[[], Callable] | None = None,
     rules: ProfileRules = DEFAULT_RULES,
     settings: Settings = DEFAULTS,
 ) -> dict[str, DataFrame]:
@@ -117,6 +120,10 @@ def build(
     tables["contradictions"] = keep(
         "contradictions", contra.contradictions(splits, settings=settings)
     )
+    if embedder is not None:
+        distinct = sentences.distinct_sentences(instances)
+        vectors = search.embed_sentences(distinct, embedder)
+        tables["embeddings"] = keep("embeddings", vectors)
     tables["search_index"] = keep("search_index", search.search_index(instances))
     enriched = people.enrich_profiles(
         ingest.load_profiles(raw_profiles), rules, descriptors, settings=settings

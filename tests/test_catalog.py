@@ -38,7 +38,7 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert plain(result.collect(), columns) == plain(theirs, columns)
 
 
-# The profile of a pick of the whole corpus and single rows need no shuffle-wide product.
+# Products of two tables, and Python called row by row.
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 

@@ -56,3 +56,12 @@ def test_signals(spark):
     assert [r.season_gap for r in reports.seasonal_alerts(drift, hotels).collect()] == [0.7]
     assert [r.hotel_id for r in reports.raw_trend_signals(drift, hotels).collect()] == ["a", "b"]
     assert [r.aspect for r in reports.raw_seasonal_signals(drift, hotels).collect()] == ["safety"]
+
+
+def test_embedding_hook_gives_unit_vectors(spark):
+    table = spark.createDataFrame([("ab",), ("abcd",)], "sentence_text string")
+    found = search.embed_sentences(table, lambda: lambda texts: [[float(len(t)), 0.0, 2.0] for t in texts])
+    for row in found.collect():
+        size = len(row.sentence_text)
+        assert [round(x, 5) for x in row.embedding] == [
+            round(x / (size**2 + 4) ** 0.5, 5) for x in (size, 0, 2)]
