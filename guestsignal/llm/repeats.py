@@ -30,7 +30,7 @@ Items = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 RUNS = "doc_id bigint, th bigint, lo bigint, n bigint, h bigint, c bigint"
 #: Bytes of text that are turned into items at once.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 def byte_items(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -40,6 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A scrambled value for each byte.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string array without nulls."""
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -86,13 +90,13 @@ def eight_bytes(raw: np.ndarray) -> np.ndarray:
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each word from all its bytes and its length."""
     out = np.empty(len(starts), np.uint64)
-    for a, b in chunks(ends - starts, CHUNK):
+    b = 0
+    while b < len(starts):
+        a, b = b, max(b + 1, int(np.searchsorted(ends, starts[b] + CHUNK, side="right")))
         lo, hi = int(starts[a]), int(ends[b - 1])
-        part = raw[lo:hi].astype(np.uint64)
         up, down = powers(hi - lo)
         total = np.zeros(hi - lo + 1, np.uint64)
-        table = mix(np.arange(1, 257, dtype=np.uint64))
-        np.cumsum(table[part] * up[: hi - lo], out=total[1:])
+        np.cumsum(BYTES.take(raw[lo:hi]) * up[: hi - lo], out=total[1:])
         s, e = starts[a:b] - lo, ends[a:b] - lo
         out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
     return out
