@@ -26,6 +26,20 @@ END_ID = 2
 #: Words whose ids a Python worker remembers, in each of two generations.
 CACHE_WORDS = 250_000
 
+#: Marks that are a token of their own after a word.
+PLAIN_MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter of byte-level vocabularies for each byte: itself if it is printable in
+    Latin-1, else the next one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
 FRAMES = "part int, frame int, n_docs int, n_ids bigint, doc_ids binary, data binary"
 
 
@@ -53,6 +67,7 @@ class WordTokenizer:
         self.by_piece = self._splits_at_spaces()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _splits_at_spaces(self) -> bool:
         import json
@@ -80,7 +95,7 @@ class WordTokenizer:
                 else:
                     known[piece] = found
         if missing:
-            known.update(zip(missing, self._encode(missing)))
+            self._learn(missing)
         rest = [text for text, cut in zip(texts, cuts) if cut is None]
         whole = iter(self._encode(rest) if rest else [])
         out = [next(whole) if cut is None else b"".join([known[p] for p in cut]) for cut in cuts]
@@ -88,6 +103,31 @@ class WordTokenizer:
             self.older, self.known = known, {}
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """ids of new pieces: a word with or without one mark after it goes to the model
+        directly, anything else through the whole tokenizer."""
+        known, rest = self.known, []
+        for piece in pieces:
+            body = piece.removeprefix(" ")
+            if body.isalpha():
+                known[piece] = self._word(piece)
+            elif body[-1] in PLAIN_MARKS and body[:-1].isalpha():
+                known[piece] = self._word(piece[:-1]) + self._word(piece[-1])
+            else:
+                rest.append(piece)
+        if rest:
+            known.update(zip(rest, self._encode(rest)))
+
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            letters = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = [token.id for token in self.tokenizer.model.tokenize(letters)]
+            if len(self.words) > CACHE_WORDS:
+                self.words.clear()
+            found = self.words[word] = np.array(ids, "<u4").tobytes()
+        return found
+
     def _pieces(self, text: str) -> list[str] | None:
         if any(token in text for token in self.added):
             return None
