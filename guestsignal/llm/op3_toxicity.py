@@ -131,8 +131,8 @@ def log_ratios(counts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.n
     return ratio, np.abs(ratio) / error
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = 1.0,
-                 rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, penalty: float = 0.05,
+                 rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-penalised logistic regression on presence times scale."""
     n, of = len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     at = np.concatenate(rows) if rows else np.empty(0, np.int64)
