@@ -222,6 +222,19 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return base.mapInArrow(apply, schema)
 
 
+def keep_clean(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Classifier(*shared.value)
+        for batch in batches:
+            scores = known.scores(batch.column("text").fill_null(""))
+            yield batch.filter(pa.array(scores < 0.5))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def learnt(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Train on the rows outside the held-out fold: crc32(doc_id) mod 5 is not 0."""
     return train(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
