@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from guestsignal.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="given tables are absent")
@@ -28,7 +29,7 @@ def plain(rows, columns):
     return sorted(tuple(cell(r[c]) for c in columns) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_agrees_with_sql(spark, duck, name):
     result = entry.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)
