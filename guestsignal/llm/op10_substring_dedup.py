@@ -1,12 +1,12 @@
 """Substring dedup by repeated-phrase automata.
 
-1. Candidate phrases: runs of windows whose words recur (repeats), each as its words and the
-   place where they occur first.
-2. Phrases go to the shards of documents that hold a copy; a shard is a bounded slice of the
-   corpus, whatever its size, and gets only its own phrases.
-3. Each shard compiles an Aho-Corasick automaton over word sequences and streams all its
-   documents through it. The automaton compares words, not hashes, so each occurrence is
-   confirmed; every occurrence after the first one is removed.
+1. Candidate phrases: runs of windows whose words recur (repeats), each with the place where
+   they occur first; these are told apart by 64-bit hashes.
+2. Phrases go to the shards of documents that hold a later copy; a shard is a bounded slice of
+   the corpus and gets only its own phrases, as places in its own documents.
+3. Each shard cuts the phrases out of its documents, compiles an Aho-Corasick automaton over
+   word sequences and streams all its documents through it. The automaton compares
+   words; every occurrence after the phrase's first one is removed.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guestsignal.llm import repeats
+from guestsignal.llm import repeats, vec
 from guestsignal.llm.shared import id_again, stored, table, tasks, with_text_hash
 
 WINDOW = 20
@@ -29,35 +29,28 @@ GRAM = 5
 SHARDS_A_TASK = 8
 
 
-def _phrases(rows: DataFrame, window: int) -> DataFrame:
-    """Cuts the phrases of `spans` out of each text.
-
-    spans: lo, n, whole. A whole span is one phrase of n + window - 1 words; the windows
-    of any other span are phrases of their own, of `window` words.
-    """
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """A row for each window of the runs in `spans`: hash of its words, and its place."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = (batch.column(k).to_numpy() for k in ("doc_id", "th"))
-            texts, spans = batch.column("text"), batch.column("spans")
-            out: list[tuple] = []
-            for r in range(batch.num_rows):
-                words = texts[r].as_py().encode().split()
-                for x in spans[r].as_py():
-                    size = x["n"] + window - 1 if x["whole"] else window
-                    for at in [x["lo"]] if x["whole"] else range(x["lo"], x["lo"] + x["n"]):
-                        phrase = b" ".join(words[at : at + size]).decode()
-                        out.append((int(ids[r]), int(hashes[r]), at, size, phrase))
-                if len(out) > 20_000 or r == batch.num_rows - 1:
-                    columns = list(zip(*out)) or [()] * 5
-                    kinds = [pa.int64()] * 4 + [pa.string()]
-                    names = ["doc_id", "th", "at", "size", "phrase"]
-                    arrays = [pa.array(v, k) for v, k in zip(columns, kinds)]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
-                    out = []
-
-    schema = "doc_id bigint, th bigint, at bigint, size bigint, phrase string"
-    return rows.mapInArrow(cut, schema)
+            spans = batch.column("spans")
+            for a, b, raw, offsets in repeats.slices(batch.column("text")):
+                items, bounds = repeats.word_items(raw, offsets)
+                total = vec.sums(items)
+                for r in range(a, b):
+                    at = np.concatenate(
+                        [np.arange(x["lo"], x["lo"] + x["n"]) for x in spans[r].as_py()]
+                    )
+                    from_ = at + bounds[r - a]
+                    yield pa.RecordBatch.from_pydict({
+                        "w": vec.signed(vec.span_hash(total, from_, from_ + window)),
+                        "doc_id": np.full(len(at), ids[r]), "th": np.full(len(at), hashes[r]),
+                        "at": at,
+                    })
+
+    return rows.mapInArrow(cut, "w bigint, doc_id bigint, th bigint, at bigint")
 
 
 def _shard(shards: int):
@@ -65,65 +58,76 @@ def _shard(shards: int):
 
 
 def phrases(docs: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """Recurring phrases for each shard that holds a copy, with their first occurrence.
+    """Recurring phrases for each shard that has to remove a copy.
 
-    Columns: shard, phrase, first_doc, first_th, first_at.
+    A phrase is given by one of its copies in the shard (doc_id, th, at, size) and by its
+    first occurrence anywhere (first_doc, first_th, first_at).
     """
     found = repeats.recurring(docs, repeats.word_items, window, min(GRAM, window))
     groups = stored(repeats.surroundings(found), "groups")
-    whole = groups.filter("k > 1").select("h", "c", "first.*", F.lit(True).alias("whole"))
-    single = repeats.undecided(groups).select("h", "c", "first.*", F.lit(False).alias("whole"))
-    spans = F.collect_list(F.struct("lo", "n", "whole")).alias("spans")
-    wanted = whole.unionByName(single).groupBy("doc_id", "th").agg(spans)
-    cut = stored(
-        _phrases(docs.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]), window), "phrases"
-    )
-    # windows of different surroundings: the same words may come from several documents
     place = F.struct("doc_id", "th", "at")
-    known = whole.select("doc_id", "th", F.col("lo").alias("at"),
-                         (F.col("n") + window - 1).alias("size"), "h", "c")
-    copies = found.select("h", "c", _shard(shards)).distinct()
-    long = (
-        cut.join(known, ["doc_id", "th", "at", "size"])
-        .select("h", "c", "phrase", place.alias("first"))
-        .join(copies, ["h", "c"])
-        .select("shard", "phrase", "first")
+    known = groups.filter("k > 1").select(
+        "h", "c", F.struct("first.doc_id", "first.th", F.col("first.lo").alias("at")).alias("first")
     )
-    opened = cut.filter(F.col("size") == window)
+    copies = found.select("h", "c", "doc_id", "th", F.col("lo").alias("at"), (F.col("n") + window - 1).alias("size"))
+    long = copies.join(known, ["h", "c"]).filter(place > F.col("first"))
+    left = repeats.undecided(groups).select("first.*")
+    spans = F.collect_list(F.struct("lo", "n")).alias("spans")
+    where = left.groupBy("doc_id", "th").agg(spans).hint("shuffle_hash")
+    windows = stored(_windows(docs.join(where, ["doc_id", "th"]), window), "windows")
     again = (
-        opened.groupBy("phrase")
-        .agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first"))
-        .filter("k > 1")
-        .select("phrase", "first")
-    )
-    short = opened.select("phrase", _shard(shards)).distinct().join(again, "phrase")
-    return (
-        long.unionByName(short.select("shard", "phrase", "first"))
-        .groupBy("shard", "phrase")
-        .agg(F.min("first").alias("first"))
-        .select(
-            "shard", "phrase", F.col("first.doc_id").alias("first_doc"),
-            F.col("first.th").alias("first_th"), F.col("first.at").alias("first_at"),
-        )
+        windows.groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.min(place).alias("first"))
+        .filter("k > 1").select("w", "first")
+    )
+    short = windows.join(again, "w").filter(place > F.col("first"))
+    here = F.min(F.struct("doc_id", "th", "at", "size")).alias("here")
+    long = long.groupBy("h", "c", _shard(shards), "first").agg(here)
+    short = (
+        short.withColumn("size", F.lit(window).cast("bigint"))
+        .groupBy("w", _shard(shards), "first").agg(here)
+    )
+    out = long.select("shard", "here", "first").unionByName(short.select("shard", "here", "first"))
+    return out.select(
+        "shard", "here.*", F.col("first.doc_id").alias("first_doc"),
+        F.col("first.th").alias("first_th"), F.col("first.at").alias("first_at"),
     )
 
 
-def automaton(lines: list[str], values: list) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+def automaton(lines: list[list[bytes]], values: list) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
     """Automaton over sequences of word numbers, and the numbers of its words (from 1)."""
     numbers: dict[bytes, int] = {}
     machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for line, value in zip(lines, values):
-        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in line.encode().split())
+    first: dict[tuple[int, ...], tuple] = {}
+    for words, value in zip(lines, values):
+        key = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words])
+        first[key] = min(first.get(key, value), value)
+    for key, value in first.items():
         machine.add_word(key, (len(key), value))
-    if lines:
+    if first:
         machine.make_automaton()
     return machine, numbers
 
 
+def _compiled(docs: pa.Table, known: pa.Table) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """The automaton of a shard's phrases, whose words are cut out of the shard's documents."""
+    wanted: dict[tuple[int, int], list[tuple]] = {}
+    names = ("doc_id", "th", "at", "size", "first_doc", "first_th", "first_at")
+    for doc_id, th, at, size, *first in zip(*(known.column(k).to_pylist() for k in names)):
+        wanted.setdefault((doc_id, th), []).append((at, size, tuple(first)))
+    lines, firsts = [], []
+    if wanted:
+        place = zip(docs.column("doc_id").to_pylist(), docs.column("th").to_pylist())
+        for row, key in enumerate(place):
+            if spans := wanted.pop(key, None):
+                words = docs.column("text")[row].as_py().encode().split()
+                lines += [words[at : at + size] for at, size, _ in spans]
+                firsts += [first for _, _, first in spans]
+    return automaton(lines, firsts)
+
+
 def _remove(docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
     """Streams one shard's documents through the automaton of its phrases."""
-    firsts = zip(*(known.column(k).to_pylist() for k in ("first_doc", "first_th", "first_at")))
-    machine, numbers = automaton(known.column("phrase").to_pylist(), list(firsts))
+    machine, numbers = _compiled(docs, known)
     number = numbers.get
     rows = []
     for batch in docs.to_batches(max_chunksize=256):
@@ -164,7 +168,7 @@ def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keyed = with_text_hash(docs)
     parts = tasks(spark)
     shards = parts * SHARDS_A_TASK
-    known = phrases(keyed, shards, window)
+    known = stored(phrases(keyed, shards, window), "known")
     dealt = keyed.withColumn("shard", _shard(shards))
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string"

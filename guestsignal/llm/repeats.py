@@ -76,8 +76,11 @@ def run_table(docs: DataFrame, items_of: Items, window: int, gram: int) -> DataF
 
 
 def recurring(docs: DataFrame, items_of: Items, window: int, gram: int) -> DataFrame:
-    """The runs whose anchor gram occurs more than once, stored."""
-    runs = stored(run_table(docs, items_of, window, gram), "runs")
+    """The runs whose anchor gram occurs more than once, stored.
+
+    The table of all runs is made twice rather than stored: it is as large as the text.
+    """
+    runs = run_table(docs, items_of, window, gram)
     twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
     return stored(runs.join(twice, "h"), "recurring")
 
