@@ -26,31 +26,30 @@ WINDOW = 400
 
 
 def _window_buckets(rows: DataFrame, window: int) -> DataFrame:
-    """A row for each window of the runs in `spans`: its bucket pair as one identifier."""
+    """A row for each window of the runs in `spans`: its bucket pair as one identifier, and
+    its place, run * window + number within the run."""
     q = window // 2
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = (batch.column(k).to_numpy() for k in ("doc_id", "th"))
             spans = batch.column("spans")
             for a, b, raw, offsets in repeats.slices(batch.column("text")):
                 items, bounds = repeats.byte_items(raw, offsets)
-                out: dict[str, list] = {"doc_id": [], "th": [], "s": [], "w": [], "open": []}
+                out: dict[str, list] = {"w": [], "place": [], "open": []}
                 total = vec.sums(items)
                 for r in range(a, b):
                     own = spans[r].as_py()
                     s = np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in own])
-                    is_open = np.repeat([x["k"] == 1 for x in own], [x["n"] for x in own])
+                    count = [x["n"] for x in own]
                     at = s + bounds[r - a]
                     pair = [vec.span_hash(total, at + d, at + d + q - 7) for d in (0, window - q)]
-                    out["doc_id"].append(np.full(len(s), ids[r]))
-                    out["th"].append(np.full(len(s), hashes[r]))
-                    out["s"].append(s)
                     out["w"].append(vec.signed(vec.mix(pair[0] * vec.BASE + pair[1])))
-                    out["open"].append(is_open)
+                    base = np.repeat([x["run"] * window for x in own], count)
+                    out["place"].append(base + np.concatenate([np.arange(n) for n in count]))
+                    out["open"].append(np.repeat([x["k"] == 1 for x in own], count))
                 yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()})
 
-    return rows.mapInArrow(buckets, "doc_id bigint, th bigint, s bigint, w bigint, open boolean")
+    return rows.mapInArrow(buckets, "w bigint, place bigint, open boolean")
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -63,20 +62,18 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = stored(repeats.surroundings(found), "groups")
     same = found.join(groups.filter("k > 1").select("h", "c"), ["h", "c"])
     left = repeats.undecided(groups).select("first.*", "k")
-    spans = F.collect_list(F.struct("lo", "n", "k")).alias("spans")
-    windows = stored(
-        _window_buckets(
-            docs.join(left.groupBy("doc_id", "th").agg(spans).hint("shuffle_hash"), ["doc_id", "th"]),
-            window,
-        ),
-        "windows",
-    )
+    left = stored(left.withColumn("run", F.monotonically_increasing_id()), "left")
+    spans = F.collect_list(F.struct("lo", "n", "k", "run")).alias("spans")
+    where = left.groupBy("doc_id", "th").agg(spans).hint("shuffle_hash")
+    windows = stored(_window_buckets(docs.join(where, ["doc_id", "th"]), window), "windows")
     twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("k"), F.max("open").alias("open"))
     singles = windows.filter("open").join(twice.filter("k > 1 and open").select("w"), "w")
-    runs = same.select("doc_id", "th", "lo", "n")
-    return runs.unionByName(
-        singles.select("doc_id", "th", F.col("s").alias("lo"), F.lit(1).cast("bigint").alias("n"))
+    one = F.lit(1).cast("bigint").alias("n")
+    run, step = F.expr(f"place div {window}").alias("run"), F.pmod("place", F.lit(window))
+    starts = singles.select(run, step.alias("step")).join(left, "run").select(
+        "doc_id", "th", (F.col("lo") + F.col("step")).alias("lo"), one
     )
+    return stored(same.select("doc_id", "th", "lo", "n").unionByName(starts), "starts")
 
 
 def dedupe(docs: DataFrame, window: int = WINDOW) -> DataFrame:
