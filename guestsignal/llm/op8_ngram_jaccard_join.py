@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from guestsignal.llm import repeats, vec
@@ -29,7 +30,7 @@ WORDS = 5
 #: Similarity of 0.75 as a fraction.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Counters of the frequency sketch (fixed size, so that every task can have it) and its chunks.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Lists of at least this length are joined with a leader first.
 LONG_LIST = 48
 #: Postings a task packs at once, and index partitions for each shuffle partition.
@@ -94,7 +95,7 @@ def _described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": nothing, "th": nothing, "size": nothing, "key": nothing,
                 "part": pa.array(range(n), pa.int32()),
-                "counts": [c.tobytes() for c in sketch.reshape(n, -1)],
+                "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for c in sketch.reshape(n, -1)],
             })
 
     schema = "doc_id bigint, th bigint, size bigint, key bigint, part int, counts binary"
@@ -107,7 +108,7 @@ def _sketch_levels(described: DataFrame) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.uint64)
         for counts in group.column("counts"):
-            total += np.frombuffer(counts.as_py(), np.uint32)
+            total += np.frombuffer(counts.as_py(), "<u2")
         levels = np.log2(total + np.uint64(1)).astype(np.uint8)
         return pa.table({"part": group.column("part").slice(0, 1), "levels": [levels.tobytes()]})
 
@@ -225,20 +226,19 @@ def open_pairs(key, size, position, comp, hub, overlap, hub_size):
     edge = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1])))
     stop = np.append(edge[1:], len(s))
     bs, bp = s[edge].astype(np.int64), p[edge].astype(np.int64)
+    block = np.repeat(np.arange(len(edge)), stop - edge)
+    side = np.where(comp == 0, key, comp)[order]
     found_a, found_b = [], []
     for i in range(len(edge)):
         high = int(np.searchsorted(bs, bs[i] * DENOMINATOR // NUMERATOR, side="right"))
-        j = np.arange(i, high)
-        bound = np.minimum(bp[i], bp[j]) + np.minimum(bs[i] - bp[i], bs[j] - bp[j])
-        for k in j[bound >= needed(bs[i], bs[j])]:
-            x, y = np.arange(edge[i], stop[i]), np.arange(edge[k], stop[k])
-            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-            if k == i:
-                a, b = a[a < b], b[a < b]
-            a, b = order[a], order[b]
-            apart = (comp[a] != comp[b]) | (comp[a] == 0)
-            found_a.append(a[apart])
-            found_b.append(b[apart])
+        bound = np.minimum(bp[i], bp[i:high]) + np.minimum(bs[i] - bp[i], bs[i:high] - bp[i:high])
+        reach = bound >= needed(bs[i], bs[i:high])
+        y = np.flatnonzero(reach[block[edge[i] : stop[high - 1]] - i]) + edge[i]
+        for x in range(edge[i], stop[i]):
+            b = y[(y > x) & (side[y] != side[x])]
+            if len(b):
+                found_a.append(np.full(len(b), order[x]))
+                found_b.append(order[b])
     if not found_a:
         nothing = np.empty(0, np.int64)
         return nothing, nothing, np.empty(0, bool)
@@ -248,6 +248,15 @@ def open_pairs(key, size, position, comp, hub, overlap, hub_size):
     most = np.minimum(overlap[b] + size[a] - overlap[a], overlap[a] + size[b] - overlap[b])
     sure = known & (overlap[a] + overlap[b] - hub_size[a] >= least)
     keep = ~(known & (most < least))
+    a, b, sure = a[keep], b[keep], sure[keep]
+    # one sure link between two components, or a set and a component, makes the others needless
+    side = np.where(comp == 0, key, comp)
+    low, high = np.minimum(side[a], side[b]), np.maximum(side[a], side[b])
+    order = np.lexsort((~sure, high, low))
+    low, high = low[order], high[order]
+    first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]
+    settled = sure[order][first][np.cumsum(first) - 1] if len(order) else first
+    keep = np.sort(order[~settled | first])
     return a[keep], b[keep], sure[keep]
 
 
@@ -259,7 +268,8 @@ def _pairs(group: pa.Table) -> pa.Table:
              ("overlap", -1), ("leader_size", 0))
     of, key, size, position, comp, hub, overlap, hub_size = (column(*n)[order] for n in names)
     cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], []]
+    side = np.where(comp == 0, key, comp)
     for lo, hi in zip(cuts, np.append(cuts[1:], len(of)) if len(of) else []):
         at = slice(lo, hi)
         if comp[lo] and (comp[at] == comp[lo]).all():
@@ -269,16 +279,18 @@ def _pairs(group: pa.Table) -> pa.Table:
         a, b = a + lo, b + lo
         swap = key[a] > key[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        for k, v in enumerate((key[a], key[b], size[a], size[b], sure)):
+        for k, v in enumerate((a, b, sure)):
             out[k].append(v)
-    a, b, sa, sb, sure = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
-    order = np.lexsort((b, a))
-    a, b, sa, sb, sure = a[order], b[order], sa[order], sb[order], sure[order].astype(np.int64)
+    a, b, sure = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
+    order = np.lexsort((key[b], key[a]))
+    left, right, sure = a[order], b[order], sure[order].astype(np.int64)
+    a, b, sa, sb = key[left], key[right], size[left], size[right]
+    low, high = np.minimum(side[left], side[right]), np.maximum(side[left], side[right])
     first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
     count = np.diff(np.append(first, len(a)))
     sure = np.maximum.reduceat(sure, first) if len(a) else sure
     return pa.table({"a": a[first], "b": b[first], "sa": sa[first], "sb": sb[first],
-                     "shared": count, "sure": sure})
+                     "shared": count, "sure": sure, "low": low[first], "high": high[first]})
 
 
 def _may_link() -> Column:
@@ -342,6 +354,31 @@ def _linked() -> Column:
     return F.col("overlap") * DENOMINATOR >= union * NUMERATOR
 
 
+#: low and high: the two components of a pair, or the sets themselves.
+PAIRS = (
+    "a bigint, b bigint, sa bigint, sb bigint, shared bigint, sure bigint, low bigint, high bigint"
+)
+#: Members of a component that others are tried against first, and tries for each.
+DELEGATES, TRIES = 32, 6
+
+
+def _with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists with the component of each key (null: none yet), whether the key is one of its
+    component's delegates, and the part."""
+    order = W.partitionBy("comp").orderBy(F.xxhash64("node"), "node")
+    comps = components(links)
+    chosen = (
+        comps.withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= DELEGATES)
+        .select(F.col("node").alias("key"), F.lit(True).alias("delegate"))
+    )
+    return (
+        lists.join(comps.withColumnRenamed("node", "key"), "key", "left")
+        .join(chosen, "key", "left")
+        .withColumn("part", F.shiftright("list", 32))
+    )
+
+
 def key_links(docs: DataFrame, rows: DataFrame, described: DataFrame) -> DataFrame:
     """Edges (a, b) between keys of sets that connect all linked sets."""
     spark = docs.sparkSession
@@ -355,27 +392,41 @@ def key_links(docs: DataFrame, rows: DataFrame, described: DataFrame) -> DataFra
         F.col("size").alias("sa"), F.col("leader_size").alias("sb"),
     )
     candidates = led.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
-    first = stored(candidates.filter(_may_link()), "led")
-    blank = {"comp": "bigint", "overlap": "bigint"}
+    # a leader is not in all lists of a set, so the number of lists proves nothing here
+    sizes_fit = F.least("sa", "sb") * DENOMINATOR >= F.greatest("sa", "sb") * NUMERATOR
+    first = stored(candidates.filter(sizes_fit & (F.col("shared") > 1)), "led")
     if first.isEmpty():
         early = None
+        blank = {"comp": "bigint", "overlap": "bigint"}
         known = lists.withColumns({k: F.lit(None).cast(v) for k, v in blank.items()})
     else:
         checked = stored(_verify(docs, rows, first), "checked")
         early = checked.filter(_linked()).select("a", "b")
-        comps = components(early).withColumnRenamed("node", "key")
+        seen = checked.select(
+            F.col("a").alias("key"), F.col("b").alias("leader"), F.col("overlap").alias("seen")
+        )
         self_known = F.when(F.col("key") == F.col("leader"), F.col("size"))
-        known = (
-            lists.join(comps, "key", "left")
-            .join(checked.select(F.col("a").alias("key"), F.col("b").alias("leader"),
-                                 F.col("overlap").alias("seen")), ["key", "leader"], "left")
-            .withColumn("overlap", F.coalesce(self_known, "seen"))
-            .drop("seen")
+        led_lists = (
+            lists.join(seen, ["key", "leader"], "left")
+            .withColumn("overlap", F.coalesce(self_known, "seen")).drop("seen")
+        )
+        # next, each set or component against a few members of the others
+        delegates = _with_components(led_lists, early).filter("comp is null or delegate")
+        tried = (
+            delegates.groupBy("part").applyInArrow(_pairs, PAIRS)
+            .filter("low <> a or high <> b")
+            .groupBy("a", "b", "sa", "sb", "low", "high").agg(F.sum("shared").alias("shared"))
         )
+        order = W.partitionBy("low", "high").orderBy(F.desc("shared"), "a", "b")
+        best = tried.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRIES)
+        best = stored(best.select("a", "b", "sa", "sb", "shared"), "best")
+        more = _verify(docs, rows, best).filter(_linked()).select("a", "b")
+        early = stored(early.unionByName(more), "early")
+        known = _with_components(led_lists, early)
     pairs = (
         known.withColumn("part", F.shiftright("list", 32))
         .groupBy("part")
-        .applyInArrow(_pairs, "a bigint, b bigint, sa bigint, sb bigint, shared bigint, sure bigint")
+        .applyInArrow(_pairs, PAIRS)
         .groupBy("a", "b", "sa", "sb")
         .agg(F.sum("shared").alias("shared"), F.max("sure").alias("sure"))
     )
