@@ -150,7 +150,3 @@ DEFAULT_LEXICON = Lexicon(
     negative=("bad", "poor", "terrible", "awful", "dirty", "rude", "noisy", "loud",
               "unsafe", "overpriced", "broken", "slow", "disappointing", "cold"),
 )
-
-
-def display_name(aspect: str) -> str:
-    return DISPLAY_NAMES.get(aspect, aspect)

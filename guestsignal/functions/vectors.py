@@ -15,8 +15,3 @@ def dot(left: Column, right: Column) -> Column:
 
 def norm(vector: Column) -> Column:
     return F.sqrt(dot(vector, vector))
-
-
-def cosine(left: Column, right: Column) -> Column:
-    length = norm(left) * norm(right)
-    return F.when(length > 0, dot(left, right) / length)

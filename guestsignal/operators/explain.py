@@ -11,7 +11,7 @@ from guestsignal.functions.numbers import rounded, signed_2dp
 from guestsignal.functions.taxonomy import DISPLAY_NAMES
 from guestsignal.operators.evidence import scored_rows
 from guestsignal.operators.ranking import INTENT, per_profile
-from guestsignal.operators.scale import broadcast_if_small, skew_safe_left_join
+from guestsignal.operators.scale import skew_safe_left_join
 from guestsignal.operators.temporal import shown_name
 
 # One total order everywhere: quality first, then the newest, then ids and the text.
@@ -48,10 +48,10 @@ def best_quotes(instances: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     )
 
 
-def of_picked_hotels(instances: DataFrame, described: DataFrame) -> DataFrame:
-    """Only the instances of hotels somebody is recommended: all the others need no quotes."""
+def of_picked_hotels(quotes: DataFrame, described: DataFrame) -> DataFrame:
+    """Only the quotes of hotels somebody is recommended: a few rows a hotel, so no key is hot."""
     picked = described.select("hotel_id").distinct()
-    return instances.join(broadcast_if_small(picked), "hotel_id", "left_semi")
+    return quotes.join(picked, "hotel_id", "left_semi")
 
 
 def packed_quotes(quotes: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from guestsignal.config import DEFAULTS, Settings
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.taxonomy import ASPECT_KEYS, GENERAL, Lexicon
 from guestsignal.functions.text import words
-from guestsignal.operators.scale import broadcast_if_small
 
 # A scorer adds aspect_scores (map aspect -> [0, 1]) and sentiment (map name -> [0, 1]).
 Scorer = Callable[[DataFrame], DataFrame]
@@ -159,7 +158,7 @@ def apply_overrides(
         F.lit(True).alias("_hit"),
     )
     return (
-        labels.join(broadcast_if_small(corrections), "sentence_text", "left")
+        labels.join(corrections, "sentence_text", "left")
         .withColumn("aspects", F.coalesce("_aspects", "aspects"))
         .withColumn("polarity", F.coalesce("_polarity", "polarity"))
         .withColumn("overridden", F.coalesce("_hit", F.lit(False)))

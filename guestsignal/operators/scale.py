@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 
 # A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
-SALTS = 32
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,16 +37,6 @@ def keyed_bucket(key: Column, buckets: int | Column) -> Column:
     )
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """Counts no further than max_rows + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast behind a size check; otherwise Spark picks the join by its own sizes."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold at least `share` of all rows (at most 1/share rows come back)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

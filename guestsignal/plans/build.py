@@ -54,8 +54,8 @@ def recommend(
         rules.category_fit,
         settings,
     )
-    relevant = explain.of_picked_hotels(tables["instances"], described)
-    quotes = explain.best_quotes(relevant, settings)
+    best = explain.best_quotes(tables["instances"], settings)
+    quotes = explain.of_picked_hotels(best, described)
     explained = explain.explained_picks(
         described, quotes, tables["contradictions"], names, settings
     )

@@ -54,7 +54,7 @@ def scan_embeddings(spark, sf):
 
 @query("clean_text", f"select doc_id, {o.CLEAN.replace('{t}', 'text')} as cleaned from documents")
 def clean_text_query(spark, sf):
-    docs = v.spread(v.table(spark, sf, "documents"))
+    docs = v.table(spark, sf, "documents")
     return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 

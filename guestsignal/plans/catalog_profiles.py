@@ -356,7 +356,7 @@ def explained(spark, sf, people):
     contested = contra.contradictions(
         contra.cell_splits(instances, v.DOCUMENT_SEGMENTS), v.DOCUMENT_SEGMENTS, SPLIT
     )
-    quotes = explain.best_quotes(explain.of_picked_hotels(instances, described))
+    quotes = explain.of_picked_hotels(explain.best_quotes(instances), described)
     return explain.explained_picks(described, quotes, contested)
 
 

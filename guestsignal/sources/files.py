@@ -144,12 +144,14 @@ def write_outputs(rich: DataFrame, root: str) -> None:
     """Both shapes as JSON datasets, and the rich one as Parquet for lookups.
 
     The Parquet copy is range-partitioned and sorted by profile_id, so that a lookup
-    reads the row groups around its id. The contract is checked on the written Parquet,
-    before any JSON leaves.
+    reads the row groups around its id. It is written aside first and checked there: if the
+    contract is broken, the outputs of the run before stay as they are.
     """
     ordered = rich.repartitionByRange("profile_id").sortWithinPartitions("profile_id")
-    ordered.write.mode("overwrite").parquet(f"{root}/rich_lookup")
-    stored = enforce_contract(rich.sparkSession.read.parquet(f"{root}/rich_lookup"))
+    ordered.write.mode("overwrite").parquet(f"{root}/rich_staging")
+    stored = enforce_contract(rich.sparkSession.read.parquet(f"{root}/rich_staging"))
+    again = stored.repartitionByRange("profile_id").sortWithinPartitions("profile_id")
+    again.write.mode("overwrite").parquet(f"{root}/rich_lookup")
     stored.write.mode("overwrite").json(f"{root}/rich")
     submission_output(stored).write.mode("overwrite").json(f"{root}/submission")
 

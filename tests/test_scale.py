@@ -32,10 +32,3 @@ def test_global_row_number_over_heavy_ties(spark):
     expected = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     assert [r.id for r in numbered.orderBy("place").collect()] == expected
     assert {r.place for r in numbered.collect()} == set(range(1, 501))
-
-
-def test_size_check_in_front_of_a_broadcast(spark):
-    table = spark.range(11)
-    assert scale.is_small(table, 11) and not scale.is_small(table, 10)
-    plan = scale.broadcast_if_small(table, 10)
-    assert plan is table
