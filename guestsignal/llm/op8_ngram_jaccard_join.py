@@ -9,6 +9,9 @@ skipped as a whole when no pair in it can reach the overlap.
 Answer level: in long lists all sets are first joined with one leader. What is then known about
 two sets and their leader settles most of their pairs: same component, overlap too small
 (|x & y| <= |y & L| + |x - L|) or large enough (|x & y| >= |x & L| + |y & L| - |L|).
+Sets of long lists also carry a bit map of BITS parities: it differs in no more places than the
+sets do, which bounds their overlap. Before all pairs of a long list are looked at, each of its
+sets tries a few of the list's HUBS sets of least key that this bound leaves.
 Only pairs that are still open are verified on the sets themselves.
 """
 
@@ -19,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from guestsignal.llm import repeats, vec
@@ -33,6 +35,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Lists of at least this length are joined with a leader first.
 LONG_LIST = 48
+#: Parities in a set's bit map; sets of a long list that the others try first, and tries for each.
+BITS, HUBS, TRIES = 512, 64, 4
 #: Postings a task packs at once, and index partitions for each shuffle partition.
 PACK, PARTS_A_TASK = 400_000, 1
 
@@ -67,8 +71,14 @@ def set_key(tokens: np.ndarray) -> int:
     return int(vec.mix(np.array([total + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def set_bits(tokens: np.ndarray) -> bytes:
+    """For each of BITS classes of shingles, whether the set has an odd number of them."""
+    found = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS)
+    return np.packbits((found & 1).astype(np.uint8)).tobytes()
+
+
 def _described(docs: DataFrame) -> DataFrame:
-    """A row for each document (size and key of its set), and rows that hold sketch counts."""
+    """A row for each document (size, key and bit map of its set), and rows of sketch counts."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -87,6 +97,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     "th": batch.column("th").slice(a, n),
                     "size": np.array([len(s) for s in sets], np.int64),
                     "key": np.array([set_key(s) for s in sets], np.int64),
+                    "bits": pa.array([set_bits(s) if len(s) else None for s in sets], pa.binary()),
                     "part": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary()),
                 })
         if sketch.any():
@@ -94,11 +105,12 @@ def _described(docs: DataFrame) -> DataFrame:
             nothing = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": nothing, "th": nothing, "size": nothing, "key": nothing,
+                "bits": pa.nulls(n, pa.binary()),
                 "part": pa.array(range(n), pa.int32()),
                 "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for c in sketch.reshape(n, -1)],
             })
 
-    schema = "doc_id bigint, th bigint, size bigint, key bigint, part int, counts binary"
+    schema = "doc_id bigint, th bigint, size bigint, key bigint, bits binary, part int, counts binary"
     return docs.mapInArrow(describe, schema)
 
 
@@ -216,10 +228,22 @@ def _lists(group: pa.Table) -> pa.Table:
     })
 
 
-def open_pairs(key, size, position, comp, hub, overlap, hub_size):
+def bit_maps(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit maps as rows of 64-bit words (zeros where there is none), and which rows have one."""
+    has = np.array(column.is_valid().to_pylist(), bool)
+    words = b"".join(column.fill_null(bytes(BITS // 8)).to_pylist())
+    return np.frombuffer(words, np.uint64).reshape(-1, BITS // 64), has
+
+
+def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places in which bit maps differ: no more than the sets themselves differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def open_pairs(key, size, position, comp, hub, overlap, hub_size, bits, has):
     """Pairs of one list that may link (indices), and those already known to link.
 
-    comp and hub are 0 and overlap -1 where nothing is known.
+    comp and hub are 0, overlap is -1 and has is False where nothing is known.
     """
     order = np.lexsort((position, size))
     s, p = size[order], position[order]
@@ -236,6 +260,9 @@ def open_pairs(key, size, position, comp, hub, overlap, hub_size):
         y = np.flatnonzero(reach[block[edge[i] : stop[high - 1]] - i]) + edge[i]
         for x in range(edge[i], stop[i]):
             b = y[(y > x) & (side[y] != side[x])]
+            if len(b) and has[order[x]]:
+                far = unlike(bits[order[x]], bits[order[b]])
+                b = b[~has[order[b]] | (s[x] + s[b] - far >= 2 * needed(s[x], s[b]))]
             if len(b):
                 found_a.append(np.full(len(b), order[x]))
                 found_b.append(order[b])
@@ -267,15 +294,15 @@ def _pairs(group: pa.Table) -> pa.Table:
     names = (("list", 0), ("key", 0), ("size", 0), ("position", 0), ("comp", 0), ("leader", 0),
              ("overlap", -1), ("leader_size", 0))
     of, key, size, position, comp, hub, overlap, hub_size = (column(*n)[order] for n in names)
+    bits, has = (x[order] for x in bit_maps(group.column("bits")))
     cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
     out: list[list[np.ndarray]] = [[], [], []]
-    side = np.where(comp == 0, key, comp)
     for lo, hi in zip(cuts, np.append(cuts[1:], len(of)) if len(of) else []):
         at = slice(lo, hi)
         if comp[lo] and (comp[at] == comp[lo]).all():
             continue
         a, b, sure = open_pairs(key[at], size[at], position[at], comp[at], hub[at], overlap[at],
-                                hub_size[at])
+                                hub_size[at], bits[at], has[at])
         a, b = a + lo, b + lo
         swap = key[a] > key[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -285,12 +312,11 @@ def _pairs(group: pa.Table) -> pa.Table:
     order = np.lexsort((key[b], key[a]))
     left, right, sure = a[order], b[order], sure[order].astype(np.int64)
     a, b, sa, sb = key[left], key[right], size[left], size[right]
-    low, high = np.minimum(side[left], side[right]), np.maximum(side[left], side[right])
     first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else order
     count = np.diff(np.append(first, len(a)))
     sure = np.maximum.reduceat(sure, first) if len(a) else sure
     return pa.table({"a": a[first], "b": b[first], "sa": sa[first], "sb": sb[first],
-                     "shared": count, "sure": sure, "low": low[first], "high": high[first]})
+                     "shared": count, "sure": sure})
 
 
 def _may_link() -> Column:
@@ -354,82 +380,95 @@ def _linked() -> Column:
     return F.col("overlap") * DENOMINATOR >= union * NUMERATOR
 
 
-#: low and high: the two components of a pair, or the sets themselves.
-PAIRS = (
-    "a bigint, b bigint, sa bigint, sb bigint, shared bigint, sure bigint, low bigint, high bigint"
-)
-#: Members of a component that others are tried against first, and tries for each.
-DELEGATES, TRIES = 32, 6
+PAIRS = "a bigint, b bigint, sa bigint, sb bigint, shared bigint, sure bigint"
+TRIED = "a bigint, b bigint, sa bigint, sb bigint"
+
+
+def _tries(group: pa.Table) -> pa.Table:
+    """For each set of one part's long lists, up to TRIES hubs of the list that it may link with."""
+    column = lambda name: group.column(name).fill_null(0).to_numpy()
+    order = np.lexsort((column("key"), column("list")))
+    names = ("list", "key", "size", "position", "comp")
+    of, key, size, position, comp = (column(name)[order] for name in names)
+    bits = bit_maps(group.column("bits"))[0][order]
+    side = np.where(comp == 0, key, comp)
+    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
+    found: list[list[np.ndarray]] = [[], []]
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(of)) if len(of) else []):
+        hub = np.arange(lo, min(lo + HUBS, hi))
+        for start in range(lo, hi, 4096):
+            x = np.arange(start, min(start + 4096, hi))[:, None]
+            least = needed(size[x], size[hub])
+            rest = np.minimum(size[x] - position[x], size[hub] - position[hub])
+            fits = np.minimum(position[x], position[hub]) + rest >= least
+            far = unlike(bits[x], bits[hub][None])
+            fits &= (size[x] + size[hub] - far >= 2 * least) & (side[x] != side[hub])
+            at, to = np.nonzero(fits & (np.cumsum(fits, axis=1) <= TRIES))
+            found[0].append(x[at, 0])
+            found[1].append(hub[to])
+    x, y = (np.concatenate(c) if c else np.empty(0, np.int64) for c in found)
+    swap = key[x] > key[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    _, once = np.unique(np.stack([key[x], key[y]], axis=1), axis=0, return_index=True)
+    x, y = x[once], y[once]
+    return pa.table({"a": key[x], "b": key[y], "sa": size[x], "sb": size[y]})
 
 
 def _with_components(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists with the component of each key (null: none yet), whether the key is one of its
-    component's delegates, and the part."""
-    order = W.partitionBy("comp").orderBy(F.xxhash64("node"), "node")
-    comps = components(links)
-    chosen = (
-        comps.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= DELEGATES)
-        .select(F.col("node").alias("key"), F.lit(True).alias("delegate"))
-    )
-    return (
-        lists.join(comps.withColumnRenamed("node", "key"), "key", "left")
-        .join(chosen, "key", "left")
-        .withColumn("part", F.shiftright("list", 32))
-    )
+    """Lists with the component of each key (null: none yet) and the part."""
+    comps = components(links).withColumnRenamed("node", "key")
+    return lists.join(comps, "key", "left").withColumn("part", F.shiftright("list", 32))
 
 
 def key_links(docs: DataFrame, rows: DataFrame, described: DataFrame) -> DataFrame:
-    """Edges (a, b) between keys of sets that connect all linked sets."""
+    """Edges (a, b) between keys of sets that connect all linked sets.
+
+    rows: doc_id, th, size, key and bits of the documents that have a set.
+    """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_sketch_levels(described))
     parts = tasks(spark) * PARTS_A_TASK
     lists = stored(
         _postings(docs, levels, parts).groupBy("part").applyInArrow(_lists, LISTS), "lists"
     )
-    led = lists.filter("leader is not null and leader <> key").select(
-        F.col("key").alias("a"), F.col("leader").alias("b"),
-        F.col("size").alias("sa"), F.col("leader_size").alias("sb"),
-    )
-    candidates = led.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
-    # a leader is not in all lists of a set, so the number of lists proves nothing here
-    sizes_fit = F.least("sa", "sb") * DENOMINATOR >= F.greatest("sa", "sb") * NUMERATOR
-    first = stored(candidates.filter(sizes_fit & (F.col("shared") > 1)), "led")
-    if first.isEmpty():
+    long = lists.filter("leader is not null")
+    if long.isEmpty():
         early = None
-        blank = {"comp": "bigint", "overlap": "bigint"}
-        known = lists.withColumns({k: F.lit(None).cast(v) for k, v in blank.items()})
+        blank = {"part": F.shiftright("list", 32), "overlap": F.lit(None).cast("bigint")}
+        blank |= {"comp": F.lit(None).cast("bigint"), "bits": F.lit(None).cast("binary")}
+        known = lists.withColumns(blank)
     else:
+        led = long.filter("leader <> key").select(
+            F.col("key").alias("a"), F.col("leader").alias("b"),
+            F.col("size").alias("sa"), F.col("leader_size").alias("sb"),
+        )
+        candidates = led.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
+        # a leader is not in all lists of a set, so the number of lists proves nothing here
+        sizes_fit = F.least("sa", "sb") * DENOMINATOR >= F.greatest("sa", "sb") * NUMERATOR
+        first = stored(candidates.filter(sizes_fit & (F.col("shared") > 1)), "led")
         checked = stored(_verify(docs, rows, first), "checked")
         early = checked.filter(_linked()).select("a", "b")
         seen = checked.select(
             F.col("a").alias("key"), F.col("b").alias("leader"), F.col("overlap").alias("seen")
         )
         self_known = F.when(F.col("key") == F.col("leader"), F.col("size"))
+        maps = rows.join(long.select("key").distinct(), "key", "left_semi")
         led_lists = (
             lists.join(seen, ["key", "leader"], "left")
             .withColumn("overlap", F.coalesce(self_known, "seen")).drop("seen")
+            .join(maps.groupBy("key").agg(F.first("bits").alias("bits")), "key", "left")
         )
-        # next, each set or component against a few members of the others
-        delegates = _with_components(led_lists, early).filter("comp is null or delegate")
-        tried = (
-            delegates.groupBy("part").applyInArrow(_pairs, PAIRS)
-            .filter("low <> a or high <> b")
-            .groupBy("a", "b", "sa", "sb", "low", "high").agg(F.sum("shared").alias("shared"))
-        )
-        order = W.partitionBy("low", "high").orderBy(F.desc("shared"), "a", "b")
-        best = tried.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TRIES)
-        best = stored(best.select("a", "b", "sa", "sb", "shared"), "best")
-        more = _verify(docs, rows, best).filter(_linked()).select("a", "b")
+        led_lists = stored(led_lists, "led-lists")
+        tried = _with_components(led_lists.filter("leader is not null"), early)
+        tried = stored(tried.groupBy("part").applyInArrow(_tries, TRIED).distinct(), "tried")
+        more = _verify(docs, rows, tried).filter(_linked()).select("a", "b")
         early = stored(early.unionByName(more), "early")
         known = _with_components(led_lists, early)
     pairs = (
-        known.withColumn("part", F.shiftright("list", 32))
-        .groupBy("part")
-        .applyInArrow(_pairs, PAIRS)
+        known.groupBy("part").applyInArrow(_pairs, PAIRS)
         .groupBy("a", "b", "sa", "sb")
         .agg(F.sum("shared").alias("shared"), F.max("sure").alias("sure"))
-    )
+    )
     opened = stored(pairs.filter(_may_link() | (F.col("sure") == 1)), "open")
     checked = _verify(docs, rows, opened.filter("sure = 0")).filter(_linked()).select("a", "b")
     links = opened.filter("sure = 1").select("a", "b").unionByName(checked)
@@ -445,7 +484,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     keyed = with_text_hash(docs)
     described = stored(_described(keyed), "described")
-    rows = described.filter("part is null").select("doc_id", "th", "size", "key")
+    rows = described.filter("part is null").select("doc_id", "th", "size", "key", "bits")
     full = rows.filter("size > 0")
     least = full.groupBy("key").agg(F.min("doc_id").alias("least"))
     comps = components(key_links(keyed, full, described))
