@@ -240,6 +240,24 @@ def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
+def short_pairs(of, size, position, side, bits, has):
+    """Pairs (indices) of neighbours in lists too short for blocks that may link; of: sorted."""
+    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, LONG_LIST):
+        a = np.flatnonzero(of[step:] == of[:-step])
+        if not len(a):
+            break
+        b = a + step
+        least = needed(size[a], size[b])
+        rest = np.minimum(size[a] - position[a], size[b] - position[b])
+        fits = (np.minimum(position[a], position[b]) + rest >= least) & (side[a] != side[b])
+        a, b, least = a[fits], b[fits], least[fits]
+        fits = ~(has[a] & has[b]) | (size[a] + size[b] - unlike(bits[a], bits[b]) >= 2 * least)
+        found_a.append(a[fits])
+        found_b.append(b[fits])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
+
 def open_pairs(key, size, position, comp, hub, overlap, hub_size, bits, has):
     """Pairs of one list that may link (indices), and those already known to link.
 
@@ -295,20 +313,23 @@ def _pairs(group: pa.Table) -> pa.Table:
              ("overlap", -1), ("leader_size", 0))
     of, key, size, position, comp, hub, overlap, hub_size = (column(*n)[order] for n in names)
     bits, has = (x[order] for x in bit_maps(group.column("bits")))
-    cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else []
-    out: list[list[np.ndarray]] = [[], [], []]
-    for lo, hi in zip(cuts, np.append(cuts[1:], len(of)) if len(of) else []):
-        at = slice(lo, hi)
+    side = np.where(comp == 0, key, comp)
+    start = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+    length = np.diff(np.append(start, len(of)))
+    short = np.flatnonzero(np.repeat(length < LONG_LIST, length))
+    a, b = short_pairs(*(c[short] for c in (of, size, position, side, bits, has)))
+    out = [[short[a]], [short[b]], [np.zeros(len(a), bool)]]
+    for lo, n in zip(start[length >= LONG_LIST], length[length >= LONG_LIST]):
+        at = slice(lo, lo + n)
         if comp[lo] and (comp[at] == comp[lo]).all():
             continue
         a, b, sure = open_pairs(key[at], size[at], position[at], comp[at], hub[at], overlap[at],
                                 hub_size[at], bits[at], has[at])
-        a, b = a + lo, b + lo
-        swap = key[a] > key[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        for k, v in enumerate((a, b, sure)):
+        for k, v in enumerate((a + lo, b + lo, sure)):
             out[k].append(v)
-    a, b, sure = (np.concatenate(c) if c else np.empty(0, np.int64) for c in out)
+    a, b, sure = (np.concatenate(c) for c in out)
+    swap = key[a] > key[b]
+    a, b = np.where(swap, b, a), np.where(swap, a, b)
     order = np.lexsort((key[b], key[a]))
     left, right, sure = a[order], b[order], sure[order].astype(np.int64)
     a, b, sa, sb = key[left], key[right], size[left], size[right]
