@@ -36,7 +36,7 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Lists of at least this length are joined with a leader first.
 LONG_LIST = 48
 #: Parities in a set's bit map; sets of a long list that the others try first, and tries for each.
-BITS, HUBS, TRIES = 1024,64,6
+BITS, HUBS, TRIES = 1024, 64, 6
 #: Postings a task packs at once, and index partitions for each shuffle partition.
 PACK, PARTS_A_TASK = 400_000, 1
 
