@@ -85,14 +85,16 @@ def template(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes, values, np.searchsorted(starts, offsets)
 
 
-WINDOWS = "id bigint, th bigint, at bigint, total bigint, h bigint, slots array<bigint>"
+WINDOWS = "id bigint, th bigint, at bigint, size bigint, total bigint, h bigint, slots array<bigint>"
 
 
-def _windows(rows: DataFrame, window: int, known=None) -> DataFrame:
+def _windows(rows: DataFrame, window: int, known=None, lengths: tuple[int, ...] | None = None) -> DataFrame:
     """Template windows of id, th, text; with `known`, only those whose hash it may have.
 
-    A row with fewer tokens than the window has one window, of all its tokens. total: windows
-    of the row that have enough words.
+    Without `lengths`, a row with fewer tokens than the window has one window, of all its tokens;
+    with them, rows have all their windows of each of these lengths too. Shorter windows
+    without enough words are hashed by their tokens and have no slots. size: tokens of the
+    window; total: windows of the row that count.
     """
     shift = np.uint64(64 - MAP_BITS)
 
@@ -104,34 +106,46 @@ def _windows(rows: DataFrame, window: int, known=None) -> DataFrame:
                 if not len(codes):
                     continue
                 size = np.diff(bounds)
+                row = np.repeat(np.arange(b - a), size)
+                left = bounds[1:][row] - np.arange(len(codes))
                 slot = codes <= _UNIT
                 before = np.concatenate([[0], np.cumsum(slot)])
-                row = np.repeat(np.arange(b - a), size)
-                long = np.flatnonzero(np.arange(len(codes)) + window <= bounds[1:][row])
-                total = vec.sums(codes)
-                short = np.flatnonzero((size > 0) & (size < window))
-                at = np.concatenate([long, bounds[:-1][short]])
-                end = np.concatenate([long + window, bounds[1:][short]])
-                words = (end - at) - (before[end] - before[at])
-                keep = words >= np.minimum(LITERALS, end - at)
-                at, end = at[keep], end[keep]
-                h = vec.span_hash(total, at, end)
-                count = np.bincount(row[at], minlength=b - a)
-                if known is not None:
-                    hit = known.value[(h >> shift).astype(np.int64)]
-                    at, end, h = at[hit], end[hit], h[hit]
-                of = row[at]
                 places = np.flatnonzero(slot)
-                lo, hi = before[at], before[end]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[of + a]), pa.array(hashes[of + a]), pa.array(at - bounds[of]),
-                        pa.array(count[of].astype(np.int64)), pa.array(vec.signed(h)),
-                        pa.array([vec.signed(values[places[x:y]]) for x, y in zip(lo, hi)],
-                                 pa.list_(pa.int64())),
-                    ],
-                    ["id", "th", "at", "total", "h", "slots"],
-                )
+                total, exact = vec.sums(codes), vec.sums(values)
+                whole = np.flatnonzero((size > 0) & (size < window)) if lengths is None else []
+                for n in (window, *(lengths or ())):
+                    long = np.flatnonzero(left >= n)
+                    at = np.concatenate([long, bounds[:-1][whole]])
+                    end = np.concatenate([long + n, bounds[1:][whole]])
+                    words = (end - at) - (before[end] - before[at])
+                    enough = words >= np.minimum(LITERALS, end - at)
+                    keep = enough | (end - at < window)
+                    at, end, enough = at[keep], end[keep], enough[keep]
+                    h = np.where(enough, vec.span_hash(total, at, end), vec.span_hash(exact, at, end))
+                    count = np.bincount(row[at], minlength=b - a)
+                    if known is not None:
+                        hit = known.value[(h >> shift).astype(np.int64)]
+                        at, end, h, enough = at[hit], end[hit], h[hit], enough[hit]
+                    lo, hi = before[at], np.where(enough, before[end], before[at])
+                    if n < window:
+                        # without slots, the occurrences in a row are all alike
+                        bare = np.flatnonzero(lo == hi)
+                        bare = bare[np.lexsort((at[bare], h[bare], row[at[bare]]))]
+                        fresh = np.ones(len(bare), bool)
+                        fresh[1:] = (np.diff(row[at[bare]]) != 0) | (h[bare][1:] != h[bare][:-1])
+                        one = np.sort(np.concatenate([bare[fresh], np.flatnonzero(lo < hi)]))
+                        at, end, h, lo, hi = at[one], end[one], h[one], lo[one], hi[one]
+                    of = row[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[of + a]), pa.array(hashes[of + a]), pa.array(at - bounds[of]),
+                            pa.array((end - at).astype(np.int64)),
+                            pa.array(count[of].astype(np.int64)), pa.array(vec.signed(h)),
+                            pa.array([vec.signed(values[places[x:y]]) for x, y in zip(lo, hi)],
+                                     pa.list_(pa.int64())),
+                        ],
+                        ["id", "th", "at", "size", "total", "h", "slots"],
+                    )
 
     return rows.mapInArrow(cut, WINDOWS)
 
@@ -139,9 +153,10 @@ def _windows(rows: DataFrame, window: int, known=None) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, th, item_id, n_windows, coverage, consistency of items found in documents.
 
-    docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no windows. Items in
-    which no window has LITERALS words cannot be found; items and documents of fewer tokens
-    than a window are compared as wholes.
+    docs: doc_id, text; benchmark: item_id, text. Null and empty texts have no windows. An item of
+    fewer tokens than a window is one window and is looked for anywhere in documents; if fewer than
+    LITERALS of its tokens (of up to LITERALS tokens: not all) are words, its tokens must be
+    the same, numbers and names too. Longer items in which no window has LITERALS words cannot be found.
     """
     spark = docs.sparkSession
     items = benchmark.select(
@@ -152,10 +167,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     wanted = stored(_windows(items, window), "items")
     bits = np.zeros(1 << MAP_BITS, bool)
     place = F.shiftrightunsigned("h", 64 - MAP_BITS).alias("bit")
-    bits[[row.bit for row in wanted.select(place).distinct().collect()]] = True
+    marks = wanted.select(place, "size").distinct().collect()
+    bits[[row.bit for row in marks]] = True
+    lengths = tuple(sorted({row["size"] for row in marks if row["size"] < window}))
     known = spark.sparkContext.broadcast(bits)
     rows = with_text_hash(docs).withColumnRenamed("doc_id", "id")
-    found = _windows(rows, window, known)
+    found = _windows(rows, window, known, lengths)
     item = wanted.select(
         F.col("id").alias("item_id"), F.col("th").alias("item_th"), F.col("at").alias("item_at"),
         F.col("total").alias("item_total"), "h", F.col("slots").alias("item_slots"),
