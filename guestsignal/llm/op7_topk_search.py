@@ -122,12 +122,13 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCAL
 
     vectors: vec_id, embedding; queries are the rows whose vec_id is divisible by `every`.
     Rows without id or vector, or with a null or non-finite component, take no part; vectors of
-    different dimensions are not compared. A row that repeats a vec_id is a row of its own.
-    Scores must fit 64 bits.
+    different dimensions are not compared. A row that repeats a vec_id is a row of its own;
+    query rows equal in vec_id and quantised vector are asked once, and are candidates for each
+    other. Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
     rows = stored(quantised(vectors, scale), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0)
+    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "values"])
     n, q = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
     left = _packed(rows, shards, "shard")
