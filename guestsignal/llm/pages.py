@@ -34,6 +34,10 @@ _ENDS = {
 }
 
 
+#: What can stand in a head; text and any other start tag end an open one.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+
+
 @dataclass
 class Block:
     text: str
@@ -66,12 +70,20 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(text, tuple(stack), linked))
         parts, linked = [], 0
 
+    def end_head() -> None:
+        nonlocal silent
+        while stack and stack[-1][0] == "head":
+            stack.pop()
+            silent -= 1
+
     while at < size:
         begin = page.find("<", at)
         match = None
         while begin >= 0 and (match := _TAG.match(page, begin)) is None:
             begin = page.find("<", begin + 1)
         text = page[at : begin if match else size]
+        if silent and text.strip(" \t\n\f\r"):
+            end_head()
         if text and not silent:
             parts.append(text)
             if in_link:
@@ -94,6 +106,9 @@ def blocks(page: str) -> list[Block]:
                     if gone == tag:
                         break
             continue
+        in_head = bool(stack) and stack[-1][0] == "head"
+        if in_head and tag not in _IN_HEAD:
+            end_head()
         if tag == "br":
             parts.append(" ")
         if tag == "a":
@@ -105,7 +120,7 @@ def blocks(page: str) -> list[Block]:
         attributes = match[3] if match[2] else match[6]
         if tag in VOID or (attributes or "").endswith("/"):
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "noframes" and in_head:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else size
             closing = page.find(">", at)
