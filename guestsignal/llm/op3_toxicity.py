@@ -157,18 +157,30 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     """Learn `toxic` from `docs` (doc_id, text) and `labels` (doc_id, toxic).
 
     Ids with several labels count as toxic if one says so; rows without a label or id are not
-    used. The sample is the `sample` rows of least hash. Without labels all scores are 0.5.
+    used. The sample is the `sample` labelled ids of least hash, and of their rows, each (doc_id,
+    text) once, again the `sample` of least hash. Without labels all scores are 0.5.
     """
     spark = docs.sparkSession
     clean = labels.filter("doc_id is not null and toxic is not null")
     toxic = (F.max("toxic") > 0).cast("int").alias("toxic")
     chosen = clean.groupBy("doc_id").agg(toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit("")).alias("text")
+    # `chosen` has at most `sample` rows, so an id that repeats a lot meets it without a shuffle
     rows = stored(
-        docs.select("doc_id", text).join(chosen.hint("shuffle_hash"), "doc_id").repartition(
-            tasks(spark), "doc_id"),
+        docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+        .withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"])
+        .repartition(tasks(spark), "doc_id", "th"),
         "toxicity",
     )
+    if rows.count() > sample:
+        place = F.struct(F.xxhash64("doc_id", "th").alias("hash"), "doc_id", "th")
+        places = rows.select(place.alias("place")).orderBy("place").limit(sample)
+        last = places.agg(F.max("place").alias("last")).first().last
+        if last is None:
+            rows = rows.limit(0)
+        else:
+            most = F.struct(*(F.lit(v).cast("bigint").alias(c) for c, v in last.asDict().items()))
+            rows = rows.filter(place <= most)
     totals = np.zeros(2)
     for row in rows.groupBy("toxic").count().collect():
         totals[row.toxic] = row["count"]
@@ -190,13 +202,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
                     own = shared.value[slots_of(raw[offsets[r] : offsets[r + 1]])]
                     found.append(own[own >= 0].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())],
-                ["doc_id", "toxic", "found"],
+                [batch.column("doc_id"), batch.column("th"), batch.column("toxic"),
+                 pa.array(found, pa.binary())],
+                ["doc_id", "th", "toxic", "found"],
             )
 
-    schema = "doc_id bigint, toxic int, found binary"
-    known = rows.select("doc_id", "text", "toxic").mapInArrow(features, schema).collect()
-    known.sort(key=lambda row: row.doc_id)
+    schema = "doc_id bigint, th bigint, toxic int, found binary"
+    known = rows.select("doc_id", "th", "text", "toxic").mapInArrow(features, schema).collect()
+    known.sort(key=lambda row: (row.doc_id, row.th))
     weights, bias = fit_logistic(
         [np.frombuffer(row.found, np.int32) for row in known],
         np.array([row.toxic for row in known], float), ratio[best],
