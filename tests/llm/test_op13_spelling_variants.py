@@ -59,8 +59,8 @@ def rows():
     for w in base * 6:
         k = rng.randrange(len(w))
         words.append(rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("abcdÿ") + w[k:], w[:k] + "é" + w[k + 1 :]]))
-    # a path of forms, ties of the largest n, one word with very many rows, long words
-    words += ["pathaaaa"] * 3 + ["pathaaab"] * 20 + ["pathaabb"] * 120 + ["tieaaaaa"] * 3 + ["tieaaaab", "tieaaaac"] * 20
+    # ties of the largest n, one word with very many rows, long words
+    words += ["tieaaaaa"] * 3 + ["tieaaaab", "tieaaaac"] * 20
     words += ["commonword"] * 4000 + ["longer" * 30] + ["longer" * 29 + "longest"]
     weighted = words + rng.choices(words[:60], k=4000)
     out = []
@@ -68,6 +68,8 @@ def rows():
         some = rng.choices(weighted, k=20)
         shown = [w.title() if rng.random() < 0.2 else w for w in some]
         out.append((i if i % 13 else None, rng.choice([" ", ",\n", "·", " –"]).join(shown)))
+    for i, (word, n) in enumerate([("pathaaaa", 8), ("pathaaab", 60), ("pathaabb", 500), ("pathéabb", 6)]):
+        out.append((5000 + i, " ".join([word] * n)))
     out += [(1, ""), (2, None), (3, " \n"), (4, "ΑΒΓΔΕΖ"), *out[:5], *out[:5]]
     return out
 
