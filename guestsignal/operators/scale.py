@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +12,29 @@ from pyspark.sql import Window as W
 
 # A key is hot from this share of all rows on, so there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
+# Groups of fewer rows stay in one range.
+RANGE_ROWS = 50_000
+# Rows that are looked at for each range a large group gets.
+SAMPLED = 64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; only a local session may fall back to /tmp."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="guestsignal-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="guestsignal-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the reliable checkpoint folder and read back: stable and short lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write once to the shared folder as Parquet and read back: stable, short lineage, and each
+    reader scans only its columns."""
+    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keyed_bucket(key: Column, buckets: int | Column) -> Column:
@@ -37,41 +43,126 @@ def keyed_bucket(key: Column, buckets: int | Column) -> Column:
     )
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least `share` of all rows (at most 1/share rows come back)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def _as_list(names: str | list[str]) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
+def hot_keys(df: DataFrame, key: str | list[str], share: float = HOT_SHARE) -> DataFrame:
+    """Hash of each key with at least `share` of all rows and the number of pieces of that size
+    its rows make: at most 1 / share rows of two numbers, and 2 / share pieces."""
+    counts = df.groupBy(F.xxhash64(*_as_list(key)).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    return counts.filter(F.col("_n") >= total * F.lit(share)).select(key)
+    pieces = F.ceil(F.col("_n") / (total * F.lit(share))).cast("int")
+    return counts.filter(F.col("_n") >= total * F.lit(share)).select("_hot", pieces.alias("_pieces"))
 
 
 def skew_safe_left_join(
-    big: DataFrame, unique_side: DataFrame, key: str, row_id: str, share: float = HOT_SHARE
+    big: DataFrame,
+    unique_side: DataFrame,
+    key: str | list[str],
+    row_id: str | list[str],
+    share: float = HOT_SHARE,
 ) -> DataFrame:
-    """Left join on a string key that may be very frequent in `big`, unique on the other side.
+    """Left join on one or several key columns that may be very frequent in `big`, unique on the
+    other side.
 
-    Rows of a hot key get their match from a broadcast of the hot matches alone, which
-    has at most 1/share rows whatever the size of either table. In the shuffle join they, and rows without a key, carry one made from their own row id and spread over
-    all tasks.
+    Rows of a hot key are dealt to pieces by their row id, and the key's match is copied to each
+    piece; matches may have any size, as only hashes and numbers of pieces are broadcast (at
+    most 1 / share pairs of numbers, from a count of hashes). Rows without a key are spread and
+    find nothing. `big` is read twice: give it stored if it is costly.
     """
-    payload = [c for c in unique_side.columns if c != key]
-    packed = unique_side.select(F.col(key), F.struct(*payload).alias("_match"))
-    hot = packed.join(
-        F.broadcast(hot_keys(big, key, share)), key, "left_semi"
-    ).withColumnRenamed("_match", "_hot")
-    spread = F.concat(F.lit("\u0000"), F.xxhash64(row_id).cast("string"))
-    needs_shuffle = F.col("_hot").isNull() & F.col(key).isNotNull()
+    keys, ids = _as_list(key), _as_list(row_id)
+    payload = [c for c in unique_side.columns if c not in keys]
+    hot = F.broadcast(hot_keys(big, keys, share))
+    marked = lambda df: df.withColumn("_hash", F.xxhash64(*keys)).join(
+        hot, F.col("_hash") == F.col("_hot"), "left"
+    )
+    place = F.xxhash64(*ids)
+    whole_key = F.lit(True)
+    for k in keys:
+        whole_key = whole_key & F.col(k).isNotNull()
+    piece = F.when(whole_key, F.coalesce(F.pmod(place, F.col("_pieces").cast("bigint")), F.lit(0)))
+    left = marked(big).select(*big.columns, piece.otherwise(place).alias("_piece"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_pieces", F.lit(1)).cast("bigint") - 1)
+    right = marked(unique_side).select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        F.struct(*payload).alias("_match"),
+        F.explode(copies).alias("_copy"),
+    )
+    same = F.col("_piece") == F.col("_copy")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_key_{k}"))
+    return left.join(right, same, "left").select(
+        *big.columns, *[F.col("_match")[c].alias(c) for c in payload]
+    )
+
+
+def value_ranges(
+    rows: DataFrame,
+    keys: list[str],
+    by: str,
+    name: str = "_range",
+    share: float = HOT_SHARE,
+    range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """Adds the number of the value range a row is in, within its group.
+
+    Ranges ascend with `by`, which has an order and is not null; small groups have one. A group is
+    large from `share` of all rows and `range_rows` rows on. Its splitters are quantiles of the
+    values of smallest hash, a sketch that depends on the set of rows alone, so that a task
+    that runs again finds the same ones (a KLL sketch draws at random). All large groups together have at
+    most 2 / share ranges, which bounds the broadcast. Rows should differ in (keys, by), or equal ones
+    share a range. `rows` is read three times: give it stored.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_t")).scalar()
+    size = F.greatest(total * F.lit(share), F.lit(float(range_rows)))
+    large = (
+        counts.withColumn("_ranges", F.ceil(F.col("_n") / size).cast("int"))
+        .filter("_ranges > 1")
+        .withColumn("_part", F.col("_ranges") * F.lit(float(SAMPLED)) / F.col("_n"))
+    )
+    draw = F.pmod(F.xxhash64(*keys, by), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    at = lambda i: F.floor(i * F.size("_sample") / F.col("_ranges")).cast("int")
+    splitters = (
+        rows.select(*keys, by)
+        .join(F.broadcast(large.drop("_n")), keys)
+        .filter(draw < F.col("_part"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(by)).alias("_sample"), F.first("_ranges").alias("_ranges"))
+        .select(
+            *keys,
+            F.transform(
+                F.sequence(F.lit(1), F.col("_ranges") - 1), lambda i: F.get("_sample", at(i))
+            ).alias("_splitters"),
+        )
+    )
     return (
-        big.join(F.broadcast(hot), key, "left")
-        .withColumn("_key", F.when(needs_shuffle, F.col(key)).otherwise(spread))
-        .join(packed.withColumnRenamed(key, "_key"), "_key", "left")
-        .withColumn("_found", F.coalesce("_hot", "_match"))
-        .select(*big.columns, *[F.col("_found")[c].alias(c) for c in payload])
+        rows.join(F.broadcast(splitters), keys, "left")
+        .withColumn(name, F.coalesce(_splitters_up_to(F.col(by), share), F.lit(0)))
+        .drop("_splitters")
+    )
+
+
+def _splitters_up_to(value: Column, share: float) -> Column:
+    """How many of a row's sorted splitters are at most `value`: binary search by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(int(2 / share).bit_length()))])
+    splitters = F.col("_splitters")
+    return F.when(
+        splitters.isNotNull(),
+        F.aggregate(
+            steps,
+            F.lit(0),
+            lambda found, step: F.when(
+                F.get(splitters, found + step - 1) <= value, found + step
+            ).otherwise(found),
+        ),
     )
 
 
 def _range_staged(df: DataFrame, order: list[Column]) -> DataFrame:
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    return materialise(ranged)
+    return materialise(ranged, "ranged")
 
 
 def _with_offsets(staged: DataFrame, amount: Column, order: list[Column], name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from guestsignal.functions.numbers import rounded
 from guestsignal.functions.tails import chi2_tail_udf, t_two_sided_udf
 from guestsignal.functions.taxonomy import DISPLAY_NAMES
 from guestsignal.operators.evidence import scored_rows
-from guestsignal.operators.scale import global_step_up
+from guestsignal.operators.scale import RANGE_ROWS, global_step_up, materialise, value_ranges
 
 CELL = ("hotel_id", "aspect")
 
@@ -74,25 +74,17 @@ def tie_blocks(values: DataFrame, with_day: bool = True) -> DataFrame:
     )
 
 
-def ordered_bucket(number: Column, per_octave: int = 16) -> Column:
-    """A whole number that never decreases with `number`: sign, exponent, leading digits."""
-    size = F.abs(number)
-    step = F.floor(F.log2(size) * per_octave) + 1100 * per_octave
-    return (
-        F.when(number > 0, step).when(number < 0, -step).otherwise(F.lit(0)).cast("int")
-    )
-
-
 def _value_ranks(
-    blocks: DataFrame, seasons: tuple[str, ...], minimum: int, bounded: bool
+    blocks: DataFrame, seasons: tuple[str, ...], minimum: int, bounded: bool, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """One row per (cell, value): counts t_i and cell totals n_i per season, the mid-rank
-    among all rows (`mid`) and among rows of seasons with enough of them (`kw_mid`).
+    among all rows (`mid`) and among rows of seasons with enough of them (`kw_mid`), both
+    counted from the middle of the cell.
 
     With `bounded` a cell has few distinct values (polarity has four decimals, a rating
-    is 1..5) and one window per cell ranks them. Without, values are ranked in two
-    steps, over ordered buckets of a cell and inside a bucket, so that no task holds all
-    values of a hot cell. Both are exact.
+    is 1..5) and one window per cell ranks them. Without, the values of a large cell are cut
+    into ranges at its own quantiles, ranked inside their range and moved up by the rows in
+    lower ranges, so that no task holds all values of a hot cell. Both are exact.
     """
     index = range(len(seasons))
     per_season = [
@@ -107,38 +99,39 @@ def _value_ranks(
         before = {f"b_{i}": _or_zero(F.sum(f"t_{i}").over(up_to)) for i in index}
         ranked = values.withColumns(totals | before)
     else:
-        bucketed = values.withColumn("_bucket", ordered_bucket(F.col("value")))
-        sizes = bucketed.groupBy(*CELL, "_bucket").agg(
+        placed = value_ranges(
+            materialise(values, "values"), list(CELL), "value", range_rows=range_rows
+        )
+        sizes = placed.groupBy(*CELL, "_range").agg(
             *[F.sum(f"t_{i}").alias(f"t_{i}") for i in index]
         )
-        earlier = cell.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        earlier = cell.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
         offsets = {f"o_{i}": _or_zero(F.sum(f"t_{i}").over(earlier)) for i in index}
-        inside = W.partitionBy(*CELL, "_bucket").orderBy("value")
+        inside = W.partitionBy(*CELL, "_range").orderBy("value")
         up_to = inside.rowsBetween(W.unboundedPreceding, -1)
         local = {f"l_{i}": _or_zero(F.sum(f"t_{i}").over(up_to)) for i in index}
         ranked = (
-            bucketed.withColumns(local)
+            placed.withColumns(local)
             .join(
                 sizes.withColumns(totals | offsets).drop(*[f"t_{i}" for i in index]),
-                [*CELL, "_bucket"],
+                [*CELL, "_range"],
             )
             .withColumns({f"b_{i}": F.col(f"o_{i}") + F.col(f"l_{i}") for i in index})
         )
     enough = lambda i, c: F.when(F.col(f"n_{i}") >= minimum, F.col(c)).otherwise(0)
     add = lambda columns: sum(columns[1:], columns[0])
+    centred = lambda before, ties, n: F.col(before) + (F.col(ties) - F.col(n)) / 2.0
     return ranked.withColumns(
         {
             "tie": add([F.col(f"t_{i}") for i in index]),
             "kw_tie": add([enough(i, f"t_{i}") for i in index]),
             "n": add([F.col(f"n_{i}") for i in index]),
+            "kw_n": add([enough(i, f"n_{i}") for i in index]),
             "mid": add([F.col(f"b_{i}") for i in index]),
             "kw_mid": add([enough(i, f"b_{i}") for i in index]),
         }
     ).withColumns(
-        {
-            "mid": F.col("mid") + (F.col("tie") + 1) / 2.0,
-            "kw_mid": F.col("kw_mid") + (F.col("kw_tie") + 1) / 2.0,
-        }
+        {"mid": centred("mid", "tie", "n"), "kw_mid": centred("kw_mid", "kw_tie", "kw_n")}
     )
 
 
@@ -147,26 +140,28 @@ def _or_zero(column: Column) -> Column:
 
 
 def _seasonal(ranks: DataFrame, seasons: tuple[str, ...], minimum: int) -> DataFrame:
-    """Kruskal-Wallis over the seasons with enough rows, and the extreme seasons."""
+    """Kruskal-Wallis over the seasons with enough rows, and the extreme seasons.
+
+    H is the share of the ranks' squares that lies between seasons, times rows less one. Ranks
+    counted from the middle keep large cells from cancelling digits, and ties need no correction.
+    """
     index = range(len(seasons))
     tested = F.col("kw_tie") > 0
     sums = ranks.groupBy(*CELL).agg(
         F.first("n").alias("n"),
+        F.first("kw_n").alias("_total"),
         *[F.first(f"n_{i}").alias(f"n_{i}") for i in index],
         *[F.sum(F.col(f"t_{i}") * F.col("kw_mid")).alias(f"r_{i}") for i in index],
         *[F.sum(F.col(f"t_{i}") * F.col("value")).alias(f"v_{i}") for i in index],
-        F.sum(F.pow(F.col("kw_tie"), F.lit(3)) - F.col("kw_tie")).alias("_ties"),
+        F.sum(F.col("kw_tie") * F.pow(F.col("kw_mid"), F.lit(2))).alias("_all"),
         (
             F.max(F.when(tested, F.col("value"))) - F.min(F.when(tested, F.col("value")))
         ).alias("_spread"),
         F.count_if((F.col("tie") > 0)).alias("n_values"),
-        F.sum(F.col("tie") * F.pow(F.col("mid") - (F.col("n") + 1) / 2.0, F.lit(2))).alias(
-            "value_ss"
-        ),
+        F.sum(F.col("tie") * F.pow(F.col("mid"), F.lit(2))).alias("value_ss"),
     )
     has = {i: F.col(f"n_{i}") >= minimum for i in index}
-    total = sum((F.when(has[i], F.col(f"n_{i}")).otherwise(0) for i in index), F.lit(0))
-    squares = sum(
+    between = sum(
         (
             F.when(has[i], F.pow(F.col(f"r_{i}"), F.lit(2)) / F.col(f"n_{i}")).otherwise(0.0)
             for i in index
@@ -194,13 +189,13 @@ def _seasonal(ranks: DataFrame, seasons: tuple[str, ...], minimum: int) -> DataF
     two = F.size("_means") >= 2
     best, worst = F.array_max(backwards), F.array_min("_means")
     gap = best.getField("mean") - worst["mean"]
-    big_n = F.col("_total").cast("double")
-    uncorrected = 12.0 / (big_n * (big_n + 1.0)) * F.col("_squares") - 3.0 * (big_n + 1.0)
-    factor = 1.0 - F.col("_ties") / (F.pow(big_n, F.lit(3)) - big_n)
+    varied = two & (F.col("_spread") > 1e-9)
     return (
-        sums.withColumns({"_total": total, "_squares": squares, "_means": means})
+        sums.withColumns({"_between": between, "_means": means})
         .withColumn("n_seasons", F.size("_means"))
-        .withColumn("kw_h", F.when(two & (F.col("_spread") > 1e-9), uncorrected / factor))
+        .withColumn(
+            "kw_h", F.when(varied, (F.col("_total") - 1) * F.col("_between") / F.col("_all"))
+        )
         .select(
             *CELL,
             "n",
@@ -234,7 +229,7 @@ def _trend(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
         )
         .groupBy(*CELL)
         .agg(
-            F.sum(off_day * (F.col("ranks") - F.col("t") * F.col("_centre"))).alias("cross"),
+            F.sum(off_day * F.col("ranks")).alias("cross"),
             F.sum(F.col("t") * off_day * off_day).alias("day_ss"),
         )
     )
@@ -249,10 +244,11 @@ def seasonal_tests(
     seasons: tuple[str, ...] = SEASON_ORDER,
     settings: Settings = DEFAULTS,
     bounded_values: bool = True,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """The seasonal half of drift_tests alone; it does not need the days."""
     blocks = tie_blocks(values, with_day=False)
-    ranks = _value_ranks(blocks, seasons, settings.min_per_season, bounded_values)
+    ranks = _value_ranks(blocks, seasons, settings.min_per_season, bounded_values, range_rows)
     found = _seasonal(ranks, seasons, settings.min_per_season)
     return found.withColumn("kw_p", _kw_p()).drop("n_values", "value_ss")
 
@@ -262,10 +258,11 @@ def drift_tests(
     seasons: tuple[str, ...] = SEASON_ORDER,
     settings: Settings = DEFAULTS,
     bounded_values: bool = True,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Both tests per (hotel, aspect), before correction for their number."""
     blocks = tie_blocks(values)
-    ranks = _value_ranks(blocks, seasons, settings.min_per_season, bounded_values)
+    ranks = _value_ranks(blocks, seasons, settings.min_per_season, bounded_values, range_rows)
     seasonal = _seasonal(ranks, seasons, settings.min_per_season)
     both = seasonal.join(_trend(blocks, ranks), [*CELL])
     enough = (F.col("n") >= settings.min_for_trend) & (F.col("n_values") > 1)

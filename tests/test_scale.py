@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -20,9 +21,57 @@ def test_skew_safe_join_equals_a_plain_left_join(spark):
         assert sorted(found.collect(), key=str) == sorted(expected.collect(), key=str)
 
 
-def test_hot_keys_are_bounded_by_their_share(spark):
+def test_skew_safe_join_on_two_columns_with_a_key_in_every_row_and_long_matches(spark):
+    """One pair of keys holds nearly all rows and its match is long: rows go to several tasks and
+    nothing but hashes is broadcast."""
+    rows = [(f"r{i}", "hot" if i % 10 else f"k{i % 7}", "x" if i % 3 else "y") for i in range(4000)]
+    rows += [("n1", None, "x"), ("n2", "hot", None)]
+    big = spark.createDataFrame(rows, "id string, k1 string, k2 string")
+    pairs = [(a, b) for a in ("hot", "k0", "k3") for b in "xy"]
+    side = spark.createDataFrame([(a, b, f"{a}{b}" * 20_000) for a, b in pairs], "k1 string, k2 string, text string")
+    joined = scale.skew_safe_left_join(big, side, ["k1", "k2"], "id", 0.02)
+    got = sorted((r.id, r.k1, r.k2, r.size) for r in joined.select("id", "k1", "k2", F.length("text").alias("size")).collect())
+    assert got == sorted((i, a, b, len(f"{a}{b}") * 20_000 if (a, b) in pairs else None) for i, a, b in rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = scale.skew_safe_left_join(big, side, ["k1", "k2"], "id", 0.02)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        per_task = joined.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("k1") == "hot").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r.n > 0 for r in per_task) >= 6 and max(r.n for r in per_task) < 0.5 * len(rows)
+    assert "SortMergeJoin" in plan
+
+
+def test_hot_keys_and_their_pieces_are_bounded_by_the_share(spark):
     big = spark.createDataFrame([("hot",)] * 60 + [(f"k{i}",) for i in range(40)], "key string")
-    assert [r.key for r in scale.hot_keys(big, "key", 0.05).collect()] == ["hot"]
+    want = spark.createDataFrame([("hot",)], "key string").select(F.xxhash64("key")).first()[0]
+    assert [tuple(r) for r in scale.hot_keys(big, "key", 0.05).collect()] == [(want, 12)]
+
+
+def test_value_ranges_follow_the_order_and_split_only_large_groups(spark):
+    rng = random.Random(4)
+    rows = {("big", round(1000 + 20 * rng.random(), 6)) for _ in range(20_000)}
+    rows |= {("big", -5.0), ("big", 1e300)} | {(f"small{i % 50}", float(i)) for i in range(2000)}
+    table = spark.createDataFrame(list(rows), "g string, v double").repartition(4)
+    found = scale.value_ranges(table, ["g"], "v", range_rows=1000).collect()
+    assert {(r.g, r.v) for r in found} == rows and len(found) == len(rows)
+    big = sorted((r.v, r._range) for r in found if r.g == "big")
+    assert [r for _, r in big] == sorted(r for _, r in big)
+    sizes = Counter(r for _, r in big)
+    assert 15 <= len(sizes) <= 21 and max(sizes.values()) < 3000
+    assert all(r._range == 0 for r in found if r.g != "big")
+    again = scale.value_ranges(table.repartition(7), ["g"], "v", range_rows=1000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+    assert scale.value_ranges(table.limit(0), ["g"], "v").count() == 0
+
+
+def test_value_ranges_share_bounds_the_ranges(spark):
+    table = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
+    found = scale.value_ranges(table, ["g"], "id", share=0.1, range_rows=1)
+    assert found.select("g", "_range").distinct().count() <= 20
 
 
 def test_global_row_number_over_heavy_ties(spark):

@@ -103,19 +103,44 @@ def test_two_step_ranks_equal_one_window(spark):
             for a in "ab" for _ in range(300)]
     values = table(spark, rows)
     columns = ["aspect", "n", "kw_h", "trend_rho", "best_season"]
-    one_window = temporal.drift_tests(values, bounded_values=True).select(columns)
-    two_steps = temporal.drift_tests(values, bounded_values=False).select(columns)
-    for a, b in zip(sorted(one_window.collect()), sorted(two_steps.collect())):
-        assert (a.n, a.trend_rho, a.best_season) == (b.n, b.trend_rho, b.best_season)
-        assert a.kw_h == pytest.approx(b.kw_h)
-
-
-def test_ordered_bucket_keeps_the_order(spark):
-    rng = random.Random(1)
-    numbers = sorted([rng.gauss(0, 10 ** rng.randint(-5, 5)) for _ in range(500)] + [0.0, 5e-324, -5e-324])
-    frame = spark.createDataFrame([(v,) for v in numbers], "v double")
-    buckets = [r.b for r in frame.select("v", temporal.ordered_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
-    assert buckets == sorted(buckets)
+    one_window = sorted(temporal.drift_tests(values, bounded_values=True).select(columns).collect())
+    for range_rows in (10, 50_000):
+        found = temporal.drift_tests(values, bounded_values=False, range_rows=range_rows).select(columns)
+        for a, b in zip(one_window, sorted(found.collect())):
+            assert (a.n, a.trend_rho, a.best_season) == (b.n, b.trend_rho, b.best_season)
+            assert a.kw_h == pytest.approx(b.kw_h)
+
+
+def test_a_hot_cell_of_close_values_is_ranked_by_many_tasks(spark):
+    """All values lie between 1000 and 1020: ranges follow the cell's own quantiles."""
+    rows = spark.range(80_000).select(
+        F.lit("h").alias("hotel_id"), F.lit("a").alias("aspect"),
+        (1000 + F.pmod(F.xxhash64("id"), F.lit(20_000_000)) / 1e6).alias("value"),
+        F.element_at(F.array(*map(F.lit, SEASON_ORDER)), (F.col("id") % 4 + 1).cast("int")).alias("season"),
+        F.date_add(F.lit(DAY), (F.col("id") % 50).cast("int")).alias("review_date"))
+    blocks = temporal.tie_blocks(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranks = temporal._value_ranks(blocks, SEASON_ORDER, 5, False, range_rows=2000)
+        per_task = [r.n for r in ranks.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per_task) == 8 and max(per_task) < 0.3 * sum(per_task)
+    window = temporal._value_ranks(blocks, SEASON_ORDER, 5, True)
+    columns = ["value", "mid", "kw_mid", "tie", "n", "kw_n"]
+    assert ranks.select(columns).exceptAll(window.select(columns)).isEmpty()
+
+
+def test_kruskal_keeps_its_digits_in_a_large_cell(spark):
+    """Seasons differ by a few ranks in 3e6 rows of two values; the plain formula cancels here."""
+    blocks = spark.createDataFrame(
+        [("h", "a", s, float(v), 750_000 + (5 if (s, v) == ("spring", 1) else 0)) for s in ("spring", "winter") for v in (0, 1)],
+        "hotel_id string, aspect string, season string, value double, t bigint")
+    ranks = temporal._value_ranks(blocks, SEASON_ORDER, 5, True)
+    # for two seasons and two values H is Pearson's statistic of the 2 x 2 table times (n - 1) / n
+    a, b, c, d = 750_000, 750_005, 750_000, 750_000
+    exact = (a + b + c + d - 1) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
+    assert temporal._seasonal(ranks, SEASON_ORDER, 5).first().kw_h == pytest.approx(exact, rel=1e-6)
 
 
 def test_benjamini_hochberg_with_ties_and_nulls(spark):
