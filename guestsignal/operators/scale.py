@@ -49,10 +49,11 @@ def _as_list(names: str | list[str]) -> list[str]:
 
 def hot_keys(df: DataFrame, key: str | list[str], share: float = HOT_SHARE) -> DataFrame:
     """Hash of each key with at least `share` of all rows and the number of pieces of that size
-    its rows make: at most 1 / share rows of two numbers, and 2 / share pieces."""
+    its rows make, no more than there are tasks: at most 1 / share rows, and 2 / share pieces."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(F.xxhash64(*_as_list(key)).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t")).scalar()
-    pieces = F.ceil(F.col("_n") / (total * F.lit(share))).cast("int")
+    pieces = F.least(F.ceil(F.col("_n") / (total * F.lit(share))), F.lit(tasks)).cast("int")
     return counts.filter(F.col("_n") >= total * F.lit(share)).select("_hot", pieces.alias("_pieces"))
 
 

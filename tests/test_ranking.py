@@ -67,6 +67,36 @@ def test_ranking_against_brute_force(spark, monkeypatch, blocks):
     assert {(r.profile_id, r["rank"]): (r.hotel_id, r.composite, r.display_score) for r in rows} == brute_force(*plain)
 
 
+def test_blocks_are_skipped_by_proof_and_nothing_is_lost(spark, monkeypatch):
+    """Small blocks of many hotels: most pairs of intent and block are ruled out, ties included."""
+    monkeypatch.setattr(ranking, "HOTELS_PER_BLOCK", 25)
+    monkeypatch.setattr(ranking, "BLOCK_SHARE", 0.001)
+    plain, (people, cond, hotels, drift) = world(spark, 9, 700, 80)
+    wanted = ranking.intents(people)
+    cards = ranking.materialise(ranking.hotel_cards(cond, hotels, drift, TYPES, ASPECTS))
+    best, work = ranking.rank_in_blocks(wanted, cards, ASPECTS)
+    described = ranking.describe_picks(best, wanted, cards, ASPECTS)
+    rows = ranking.ranked_profiles(people, described).collect()
+    assert {(r.profile_id, r["rank"]): (r.hotel_id, r.composite, r.display_score) for r in rows} == brute_force(*plain)
+    done = work.collect()
+    assert max(r.n_blocks for r in done) > 10
+    met, pairs = sum(r.n_met for r in done), sum(r.n_pairs for r in done)
+    assert met < 0.5 * pairs, f"{met} of {pairs} pairs met"
+
+
+def test_one_hotel_in_every_top_five(spark):
+    hotels = [("h0", "Best, X", "3-star", 1.0), *[(f"h{i}", f"Other {i}, X", "3-star", 0.0) for i in range(1, 9)]]
+    cond = [(h[0], a, "solo", 9.0, 1.0 if h[0] == "h0" else -0.1 * int(h[0][1])) for h in hotels for a in ASPECTS]
+    people = [(f"p{i}", "solo", "mid", [("a", 0.5 + i / 1000), ("b", 0.5 - i / 1000)]) for i in range(300)]
+    described = ranking.rank_all(
+        spark.createDataFrame(people, PROFILES),
+        spark.createDataFrame(cond, "hotel_id string, aspect string, traveler_type string, evidence_weight double, score double"),
+        spark.createDataFrame(hotels, "hotel_id string, hotel_name string, hotel_category string, rating_norm double"),
+        None, ("solo",), ASPECTS).collect()
+    assert len(described) == 1500
+    assert {(r.hotel_id, r.hotel_name) for r in described if r["rank"] == 1} == {("h0", "Best, X")}
+
+
 def test_ties_go_to_the_smaller_id_and_empty_worlds_give_no_rows(spark):
     hotels = spark.createDataFrame([(h, h, "3-star", 0.0) for h in ("c", "a", "b")],
                                    "hotel_id string, hotel_name string, hotel_category string, rating_norm double")
