@@ -36,7 +36,8 @@ def label_in_place(
     to meet their label; a model should go through distinct sentences and join_labels.
     """
     labelled = label_sentences(instances, scorer, keys, settings)
-    return apply_overrides(labelled, overrides).drop("aspect_scores", "top_aspect_score")
+    corrected = apply_overrides(labelled, overrides, ["review_id", "sentence_pos"])
+    return corrected.drop("aspect_scores", "top_aspect_score")
 
 
 def explode_aspects(labelled: DataFrame) -> DataFrame:

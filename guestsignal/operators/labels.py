@@ -14,9 +14,12 @@ from guestsignal.config import DEFAULTS, Settings
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.taxonomy import ASPECT_KEYS, GENERAL, Lexicon
 from guestsignal.functions.text import words
+from guestsignal.operators.scale import materialise, skew_safe_left_join
 
 # A scorer adds aspect_scores (map aspect -> [0, 1]) and sentiment (map name -> [0, 1]).
 Scorer = Callable[[DataFrame], DataFrame]
+# Overrides of more bytes are not sent to every task; what a row costs besides its texts.
+OVERRIDE_BYTES, ROW_BYTES = 32 << 20, 64
 SCORED_FIELDS = "aspect_scores map<string,double>, sentiment map<string,double>"
 
 
@@ -132,34 +135,54 @@ def extend_labels(
     return labels.unionByName(new.select(*labels.columns))
 
 
-def duplicate_override_keys(overrides: DataFrame) -> DataFrame:
-    return (
-        overrides.groupBy("sentence_text")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
+def stored_corrections(overrides: DataFrame) -> tuple[DataFrame, int]:
+    """Corrections by sentence, stored once, and their size in bytes; a repeated sentence raises."""
+    packed = F.trim("aspects")
+    corrections = materialise(
+        overrides.filter(F.col("sentence_text").isNotNull()).select(
+            "sentence_text",
+            F.when(packed != "", F.split(packed, r"\|")).alias("_aspects"),
+            F.col("polarity").cast("double").alias("_polarity"),
+            F.lit(True).alias("_hit"),
+        ),
+        "overrides",
+    )
+    size = F.octet_length("sentence_text") + F.coalesce(
+        F.octet_length(F.array_join("_aspects", "|")), F.lit(0)
     )
+    found = (
+        corrections.groupBy("sentence_text")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(size + F.lit(ROW_BYTES)).alias("bytes"))
+        .agg(F.min(F.when(F.col("n") > 1, F.col("sentence_text"))).alias("twice"), F.sum("bytes").alias("bytes"))
+        .first()
+    )
+    if found.twice is not None:
+        raise ValueError(f"overrides repeat sentences, such as {found.twice!r}")
+    return corrections, found.bytes or 0
 
 
 def apply_overrides(
-    labels: DataFrame, overrides: DataFrame | None, check_keys: bool = True
+    labels: DataFrame,
+    overrides: DataFrame | None,
+    row_id: str | list[str] = "sentence_text",
+    broadcast_bytes: int = OVERRIDE_BYTES,
 ) -> DataFrame:
-    """Exact-sentence corrections: non-blank aspects (packed `a|b`) and non-null polarity win."""
+    """Exact-sentence corrections: non-blank aspects (packed `a|b`) and non-null polarity win.
+
+    `labels` may be labels of distinct sentences or of all instances (`row_id` tells their rows
+    apart). Overrides are written by people, so they are few: up to `broadcast_bytes`, measured here,
+    they go to every task and the labels stay where they are. More of them are met in a
+    skew-safe join.
+    """
     if overrides is None:
         return labels.withColumn("overridden", F.lit(False))
-    if check_keys:
-        twice = duplicate_override_keys(overrides).limit(3).collect()
-        if twice:
-            raise ValueError(f"overrides repeat sentences: {[r.sentence_text for r in twice]}")
-    packed = F.trim("aspects")
-    corrections = overrides.select(
-        "sentence_text",
-        F.when(packed != "", F.split(packed, r"\|")).alias("_aspects"),
-        F.col("polarity").cast("double").alias("_polarity"),
-        F.lit(True).alias("_hit"),
-    )
+    corrections, size = stored_corrections(overrides)
+    if size <= broadcast_bytes:
+        met = labels.join(F.broadcast(corrections), "sentence_text", "left")
+    else:
+        met = skew_safe_left_join(labels, corrections, "sentence_text", row_id)
     return (
-        labels.join(corrections, "sentence_text", "left")
-        .withColumn("aspects", F.coalesce("_aspects", "aspects"))
+        met.withColumn("aspects", F.coalesce("_aspects", "aspects"))
         .withColumn("polarity", F.coalesce("_polarity", "polarity"))
         .withColumn("overridden", F.coalesce("_hit", F.lit(False)))
         .drop("_aspects", "_polarity", "_hit")

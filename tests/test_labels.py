@@ -68,6 +68,20 @@ def test_repeated_override_raises(spark):
         labels.apply_overrides(base_labels(spark), table)
 
 
+def test_overrides_of_instances_need_no_shuffle_and_both_ways_agree(spark):
+    texts = ["hot"] * 300 + [f"s{i}" for i in range(40)]
+    inst = instances(spark, texts).withColumns({"aspects": F.array(F.lit("a")), "polarity": F.lit(0.1)})
+    table = overrides(spark, [("hot", "b", 0.9, "x"), ("s3", None, -0.5, "y"), ("absent", "c", None, "z")])
+    key = ["review_id", "sentence_pos"]
+    near = labels.apply_overrides(inst, table, key)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    far = labels.apply_overrides(inst, table, key, broadcast_bytes=0)
+    columns = ["review_id", "sentence_text", "aspects", "polarity", "overridden"]
+    assert sorted(near.select(columns).collect()) == sorted(far.select(columns).collect())
+    assert near.filter("overridden").count() == 301
+
+
 def instances(spark, texts):
     rows = [(f"r{i}", 0, t, 0.5, 0.8) for i, t in enumerate(texts)]
     return spark.createDataFrame(
