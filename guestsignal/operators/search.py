@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from guestsignal.config import DEFAULTS
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.vectors import dot
+from guestsignal.operators.scale import materialise
+
+# Sentences that are looked up for a first answer.
+CANDIDATES = 1_024
 
 RESULT_COLUMNS = (
     "review_id",
@@ -94,24 +98,48 @@ def search(
     k: int = DEFAULTS.search_k,
     hotel_id: str | None = None,
     aspect: str | None = None,
+    candidates: int = CANDIDATES,
 ) -> DataFrame:
     """The k most similar distinct sentences, each with its most recent instance.
 
-    `instances` may be the aspect instances or, cheaper, their search_index. They are first reduced to one per sentence (group-limited in front of the
-    shuffle), then meet the scores one to one, so a frequent sentence cannot skew the
-    join. The final sort keeps k rows per task.
+    `instances` may be the aspect instances or, cheaper, their search_index. The vectors are scanned
+    once for more candidates than asked for (each task keeps its best), and only instances
+    of those are looked at. That is proven complete when k sentences are found and the last of them is
+    more similar than the last candidate, so that no tie can be outside; otherwise, as
+    with a rare filter, it is repeated with sixteen times as many candidates.
     """
-    one_each = _newest(filtered_pool(instances, hotel_id, aspect), ["sentence_text"])
     scores = sentence_similarity(embeddings, query).filter(F.col("similarity") > 0)
-    return (
-        one_each.join(scores, "sentence_text")
-        .withColumn("similarity", rounded(F.col("similarity"), 6))
-        .orderBy(
-            F.col("similarity").desc(),
-            F.col("recency_weight").desc(),
-            F.col("review_id"),
-            F.col("sentence_text"),
-        )
-        .limit(k)
-        .select(*RESULT_COLUMNS)
-    )
+    pool = filtered_pool(instances, hotel_id, aspect)
+    order = [
+        F.col("similarity").desc(),
+        F.col("recency_weight").desc(),
+        F.col("review_id"),
+        F.col("sentence_text"),
+    ]
+    asked = max(candidates, k)
+    while True:
+        best = scores.orderBy(F.col("similarity").desc(), "sentence_text").limit(asked)
+        near = materialise(best, "candidates")
+        one_each = _newest(pool.join(near, "sentence_text"), ["sentence_text"])
+        found = materialise(one_each.orderBy(*order).limit(k), "found")
+        worst = F.min("similarity").alias("least")
+        seen, got = (t.agg(F.count(F.lit(1)).alias("n"), worst).first() for t in (near, found))
+        if seen.n < asked or (got.n == k and got.least > seen.least):
+            shown = [c for c in RESULT_COLUMNS if c != "similarity"]
+            return found.orderBy(*order).select(
+                *shown, rounded(F.col("similarity"), 6).alias("similarity")
+            )
+        asked *= 16
+
+
+def search_text(
+    instances: DataFrame,
+    embeddings: DataFrame,
+    text: str,
+    load: Callable[[], Callable[[pd.Series], list]],
+    **options,
+) -> DataFrame:
+    """The same for a text, through the encoder hook that made the embeddings."""
+    asked = instances.sparkSession.createDataFrame([(text,)], "sentence_text string")
+    vector = materialise(embed_sentences(asked, load), "asked")
+    return search(instances, embeddings, vector.agg(F.first("embedding")).scalar(), **options)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from guestsignal.functions.text import split_sentences
 
+# Registers of the distinct sketches: 2 ** 12.
+SKETCH_LG_K = 12
+
 # Everything later steps need from a review, carried along instead of joined back.
 REVIEW_COLUMNS = (
     "review_id",
@@ -42,9 +45,27 @@ def distinct_sentences(instances: DataFrame) -> DataFrame:
 
 
 def corpus_stats(reviews: DataFrame, instances: DataFrame) -> DataFrame:
-    """Counts as three scalar subqueries; the distinct count goes over a partial distinct."""
-    n_instances = instances.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_unique = distinct_sentences(instances).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return reviews.agg(F.count(F.lit(1)).alias("n_reviews")).select(
-        "n_reviews", n_instances.alias("n_instances"), n_unique.alias("n_unique")
+    """Exact counts; one pass over the instances gives the sentences and the distinct ones."""
+    n_reviews = reviews.agg(F.count(F.lit(1)).alias("n")).scalar()
+    each = instances.groupBy("sentence_text").agg(F.count(F.lit(1)).alias("n"))
+    return each.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_instances"), F.count(F.lit(1)).alias("n_unique")
+    ).select(n_reviews.alias("n_reviews"), "n_instances", "n_unique")
+
+
+def sentence_sketches(instances: DataFrame, *by: str, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Number of sentences and a HyperLogLog sketch of the distinct ones per group: a few kB each, to
+    be stored with the group's files and merged with those of other groups or later days."""
+    return instances.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_instances"),
+        F.hll_sketch_agg("sentence_text", F.lit(lg_k)).alias("sketch"),
+    )
+
+
+def merged_stats(sketches: DataFrame, *by: str) -> DataFrame:
+    """n_instances and about n_unique over any union of sketched groups; the standard error is about
+    1.04 / sqrt(2 ** lg_k), 1.6 % for the default."""
+    merged = sketches.groupBy(*by).agg(
+        F.sum("n_instances").alias("n_instances"), F.hll_union_agg("sketch").alias("_all")
     )
+    return merged.withColumn("n_unique", F.hll_sketch_estimate("_all")).drop("_all")

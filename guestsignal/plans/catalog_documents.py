@@ -8,6 +8,7 @@ from guestsignal.functions.numbers import rounded
 from guestsignal.functions.text import clean_text, split_sentences
 from guestsignal.functions.vectors import norm
 from guestsignal.operators import evidence, explain, ingest, labels, search, sentences
+from guestsignal.operators.scale import materialise
 from guestsignal.plans import oracle_views as o
 from guestsignal.plans.registry import query, r
 from guestsignal.sources import driver_views as v
@@ -146,6 +147,19 @@ def corpus_stats(spark, sf):
     )
 
 
+@query(
+    "corpus_stats_by_source",
+    f"""{WITH} select hotel_id, count(*) as n_instances, count(distinct sentence_text) as n_unique
+    from sents group by hotel_id""",
+)
+def corpus_stats_by_source(spark, sf):
+    """Exact counts per source: pairs first, so that no task holds all sentences of one."""
+    each = v.document_sentences(spark, sf).groupBy("hotel_id", "sentence_text")
+    return each.agg(F.count(F.lit(1)).alias("n")).groupBy("hotel_id").agg(
+        F.sum("n").alias("n_instances"), F.count(F.lit(1)).alias("n_unique")
+    )
+
+
 # --- labels ---------------------------------------------------------------------------
 
 
@@ -257,7 +271,8 @@ def override_audit(spark, sf):
 )
 def label_join(spark, sf):
     """Labels exist only for the sentences of rated documents; the others turn into filler."""
-    instances = v.document_sentences(spark, sf)
+    columns = ["review_id", "sentence_pos", "sentence_text"]
+    instances = materialise(v.document_sentences(spark, sf).select(columns), "sentences")
     rated = v.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("review_id"))
     known = sentences.distinct_sentences(instances.join(rated, "review_id", "left_semi"))
     scorer = labels.lexicon_scorer(v.DOCUMENT_LEXICON)
@@ -356,7 +371,8 @@ def best_quotes(spark, sf):
 
 # --- search ---------------------------------------------------------------------------
 
-SIM = "list_dot_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0))"
+QUERY_VECTOR = "(select embedding::double[] from embeddings where vec_id = 0)"
+SIM = f"list_dot_product(embedding::double[], {QUERY_VECTOR})"
 
 
 def the_query(spark, sf):
@@ -365,37 +381,39 @@ def the_query(spark, sf):
     return chosen.agg(F.first("embedding").alias("q")).scalar()
 
 
-def sentence_pool(spark, sf):
-    """Vector number n is the sentence of document n; its label is the aspect."""
+def search_tables(spark, sf):
+    """Sentences of the documents that have a vector, under the vector's label as aspect, and
+    vectors of sentences: number n belongs to the first sentence of document n, the smallest
+    number to a sentence that opens several documents. Copies of documents repeat sentences."""
     vectors = v.table(spark, sf, "embeddings").select(
-        F.col("vec_id").cast("string").alias("review_id"),
-        F.col("label").cast("string").alias("aspect"),
-        F.concat(F.lit("sentence "), F.col("vec_id")).alias("sentence_text"),
+        F.col("vec_id").cast("string").alias("review_id"), "vec_id", "label", "embedding"
     )
-    reviews = v.document_reviews(spark, sf).drop("review_text")
-    return vectors.join(reviews, "review_id").withColumn(
-        "polarity", (F.col("rating") - 3) / F.lit(2.0)
-    )
-
-
-def sentence_vectors(spark, sf):
-    return v.table(spark, sf, "embeddings").select(
-        F.concat(F.lit("sentence "), F.col("vec_id")).alias("sentence_text"), "embedding"
+    asked = v.document_sentences(spark, sf).join(vectors.drop("embedding"), "review_id")
+    polarity = (F.col("rating") - 3) / F.lit(2.0)
+    pool = materialise(
+        asked.withColumns({"aspect": F.col("label").cast("string"), "polarity": polarity}), "pool"
     )
+    openings = pool.filter("sentence_pos = 0").groupBy("sentence_text").agg(F.min("vec_id").alias("vec_id"))
+    return pool, openings.join(vectors, "vec_id").select("sentence_text", "embedding")
 
 
 POOL_SQL = f"""pool as (
-  select docw.* exclude (review_text), cast(label as varchar) as aspect,
-    'sentence ' || vec_id as sentence_text, {SIM} as similarity, (rating - 3) / 2e0 as polarity
-  from embeddings join docw on docw.review_id = cast(vec_id as varchar))"""
+  select sents.*, vec_id, cast(label as varchar) as aspect, (rating - 3) / 2e0 as polarity
+  from sents join embeddings on review_id = cast(vec_id as varchar)),
+openings as (
+  select sentence_text, min(vec_id) as vec_id from pool where sentence_pos = 0 group by sentence_text),
+near as (
+  select sentence_text, {SIM} as similarity from openings join embeddings using (vec_id))"""
 
 
 def _search_sql(condition: str) -> str:
-    return f"""{WITH}, {POOL_SQL}
+    return f"""{WITH}, {POOL_SQL}, shown as (
+      select *, row_number() over (partition by sentence_text
+        order by recency_weight desc, review_id, aspect) as copy from pool where {condition})
     select review_id, hotel_id, hotel_name, sentence_text, aspect, polarity,
       strftime(review_date, '%Y-%m-%d') as review_date, verified, {r('similarity', P)} as similarity
-    from pool where similarity > 0 {condition}
-    order by {r('similarity', P)} desc, recency_weight desc, review_id limit 10"""
+    from shown join near using (sentence_text) where copy = 1 and similarity > 0
+    order by near.similarity desc, recency_weight desc, review_id, sentence_text limit 10"""
 
 
 @query(
@@ -413,40 +431,21 @@ def _shown(found):
     return found.withColumn("review_date", F.date_format("review_date", "yyyy-MM-dd"))
 
 
-@query(
-    "filtered_search",
-    _search_sql(f"and hotel_id = '{A_SOURCE}'"),
-)
+def _found(spark, sf, **filters):
+    pool, vectors = search_tables(spark, sf)
+    return _shown(search.search(pool, vectors, the_query(spark, sf), **filters))
+
+
+@query("filtered_search", _search_sql(f"hotel_id = '{A_SOURCE}'"))
 def filtered_search(spark, sf):
-    return _shown(
-        search.search(
-            sentence_pool(spark, sf),
-            sentence_vectors(spark, sf),
-            the_query(spark, sf),
-            hotel_id=A_SOURCE,
-        )
-    )
+    return _found(spark, sf, hotel_id=A_SOURCE)
 
 
-@query("semantic_search", _search_sql(""))
+@query("semantic_search", _search_sql("true"))
 def semantic_search(spark, sf):
-    return _shown(
-        search.search(
-            sentence_pool(spark, sf), sentence_vectors(spark, sf), the_query(spark, sf)
-        )
-    )
+    return _found(spark, sf)
 
 
-@query(
-    "search_by_aspect",
-    _search_sql("and aspect = '3'"),
-)
+@query("search_by_aspect", _search_sql("aspect = '3'"))
 def search_by_aspect(spark, sf):
-    return _shown(
-        search.search(
-            sentence_pool(spark, sf),
-            sentence_vectors(spark, sf),
-            the_query(spark, sf),
-            aspect="3",
-        )
-    )
+    return _found(spark, sf, aspect="3")
