@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from guestsignal.config import DEFAULTS, Settings
+from guestsignal.config import DEFAULTS, OVERALL, Settings
 from guestsignal.functions.numbers import rounded, signed_2dp
 from guestsignal.functions.taxonomy import DISPLAY_NAMES
 from guestsignal.operators.evidence import scored_rows
 from guestsignal.operators.ranking import INTENT, per_profile
 from guestsignal.operators.scale import skew_safe_left_join
-from guestsignal.operators.temporal import shown_name
+from guestsignal.operators.temporal import seasonal_caveat, shown_name, trend_caveat
 
 # One total order everywhere: quality first, then the newest, then ids and the text.
 QUOTE_ORDER = ("minus_quality", "minus_day", "review_id", "sentence_text", "aspect")
@@ -113,6 +113,22 @@ def contradiction_caveat(
     )
 
 
+def packed_drift(drift: DataFrame, names: dict[str, str] = DISPLAY_NAMES) -> DataFrame:
+    """One row per hotel with the season and trend caveats of its aspects, at most two for each."""
+    notes = F.array_compact(F.array(seasonal_caveat(names), trend_caveat(names)))
+    entry = F.struct("aspect", F.array_join(notes, " ").alias("note"))
+    noted = drift.filter(F.size(notes) > 0)
+    return noted.groupBy("hotel_id").agg(F.sort_array(F.collect_list(entry)).alias("drifting"))
+
+
+def drift_caveat(drifting: Column, aspects: Column) -> Column:
+    """The notes on the wanted aspects and on the rating as a whole, null if there are none."""
+    about = F.filter(
+        drifting, lambda d: F.array_contains(aspects, d["aspect"]) | (d["aspect"] == OVERALL)
+    )
+    return F.when(F.size(about) > 0, F.array_join(F.transform(about, lambda d: d["note"]), " "))
+
+
 def matched_aspects(contributions: Column, settings: Settings = DEFAULTS) -> Column:
     strong = F.filter(contributions, lambda c: c["score"] > settings.matched_cut)
     return F.transform(strong, lambda c: c["aspect"])
@@ -188,18 +204,32 @@ def explained_picks(
     contradictions: DataFrame,
     names: dict[str, str] = DISPLAY_NAMES,
     settings: Settings = DEFAULTS,
+    drift: DataFrame | None = None,
 ) -> DataFrame:
     """Described picks with evidence, caveat and justification; picks without evidence go,
-    the others keep their rank. Quotes and contested aspects meet a pick in one join."""
+    the others keep their rank. Quotes and contested aspects meet a pick in one join; with `drift`,
+    its caveats follow."""
     dims = F.transform("dim_weights", lambda d: d["aspect"])
     facts = packed_quotes(quotes).join(
         packed_contradictions(contradictions), "hotel_id", "left"
     )
+    if drift is None:
+        facts = facts.withColumn("drifting", F.lit(None).cast("array<struct<aspect:string,note:string>>"))
+    else:
+        facts = facts.join(packed_drift(drift, names), "hotel_id", "left")
     joined = skew_safe_left_join(described, facts, "hotel_id", "intent")
     return (
         joined.withColumn("supporting_evidence", pick_quotes(F.col("quotes"), dims, settings))
         .filter(F.size("supporting_evidence") > 0)
-        .withColumn("caveats", contradiction_caveat(F.col("contested"), dims, names))
+        .withColumn("_split", contradiction_caveat(F.col("contested"), dims, names))
+        .withColumn("_drift", drift_caveat(F.col("drifting"), dims))
+        .withColumn(
+            "caveats",
+            F.when(
+                F.col("_split").isNotNull() | F.col("_drift").isNotNull(),
+                F.concat_ws(" ", "_split", "_drift"),
+            ),
+        )
         .withColumn("matched_aspects", matched_aspects(F.col("contributions"), settings))
         .withColumn(
             "justification",
@@ -212,7 +242,7 @@ def explained_picks(
                 settings,
             ),
         )
-        .drop("quotes", "contested")
+        .drop("quotes", "contested", "drifting", "_split", "_drift")
     )
 
 

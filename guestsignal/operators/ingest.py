@@ -21,6 +21,8 @@ REQUIRED_REVIEW_COLUMNS = (
     "verified",
 )
 REQUIRED_PROFILE_COLUMNS = ("profile_id", "description")
+# Readers put the text of a record they can't parse here; null for all others.
+DAMAGED = "damaged_record"
 
 
 def require_columns(df: DataFrame, required: tuple[str, ...], what: str) -> DataFrame:
@@ -65,9 +67,14 @@ def _typed(raw: DataFrame) -> DataFrame:
     )
 
 
-def _usable() -> Column:
+def _damaged(df: DataFrame) -> Column:
+    return F.col(DAMAGED).isNotNull() if DAMAGED in df.columns else F.lit(False)
+
+
+def _usable(df: DataFrame) -> Column:
     return (
-        F.col("_filled")
+        ~_damaged(df)
+        & F.col("_filled")
         & F.col("_rating").isNotNull()
         & F.col("_date").isNotNull()
     )
@@ -78,24 +85,26 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
     require_columns(raw, REQUIRED_REVIEW_COLUMNS, "reviews")
     kept = (
         _typed(raw)
-        .filter(_usable())
+        .filter(_usable(raw))
         .withColumn("rating", F.col("_rating").cast("int"))
         .withColumn("review_date", F.col("_date"))
-        .drop("_filled", "_rating", "_date")
+        .drop("_filled", "_rating", "_date", DAMAGED)
     )
     return add_calendar(kept)
 
 
 def rejected_reviews(raw: DataFrame) -> DataFrame:
-    """The rows clean_reviews drops, as they came, with the reason."""
+    """The rows clean_reviews drops, as they came, with the reason; of a record that could not be
+    parsed that is its text, in `damaged_record`."""
     require_columns(raw, REQUIRED_REVIEW_COLUMNS, "reviews")
     carried = raw.withColumn("_raw", F.struct(*raw.columns))
     reason = (
-        F.when(~F.col("_filled"), "empty text")
+        F.when(_damaged(raw), "damaged record")
+        .when(~F.col("_filled"), "empty text")
         .when(F.col("_rating").isNull(), "rating outside 1..5")
         .otherwise("unreadable date")
     )
-    return _typed(carried).filter(~_usable()).select("_raw.*", reason.alias("reject_reason"))
+    return _typed(carried).filter(~_usable(raw)).select("_raw.*", reason.alias("reject_reason"))
 
 
 def dedupe_first(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -154,7 +163,8 @@ def load_reviews(
 
 
 def load_profiles(raw: DataFrame) -> DataFrame:
+    """Profiles with clean descriptions, without the records that could not be parsed."""
     require_columns(raw, REQUIRED_PROFILE_COLUMNS, "profiles")
-    return raw.withColumn(
+    return raw.filter(~_damaged(raw)).drop(DAMAGED).withColumn(
         "description", clean_text(F.coalesce(F.col("description"), F.lit("")))
     )

@@ -6,6 +6,8 @@ by the taxonomy, so they live inside expressions instead of joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,16 @@ from guestsignal.functions.taxonomy import (
 )
 from guestsignal.functions.text import capitalised
 from guestsignal.functions.vectors import dot
+from guestsignal.operators.scale import materialise, skew_safe_left_join
+from guestsignal.operators.search import embed_sentences
 from guestsignal.operators.temporal import shown_name
 
+
+
+def no_vector() -> Column:
+    return F.lit(None).cast("array<float>")
+
+
 def rule_dims(
     text: Column, rules: ProfileRules = DEFAULT_RULES, settings: Settings = DEFAULTS
 ) -> Column:
@@ -164,6 +174,35 @@ def profile_summary(
     )
 
 
+def with_vectors(
+    profiles: DataFrame,
+    load: Callable[[], Callable],
+    rules: ProfileRules = DEFAULT_RULES,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """`vector` of the descriptions that need one: those the rules find too little in and that came
+    without. Equal descriptions are encoded once."""
+    given = profiles if "vector" in profiles.columns else profiles.withColumn("vector", no_vector())
+    thin = F.size(rule_dims(F.col("description"), rules, settings)) < settings.min_rule_dims
+    asked = given.filter(thin & F.col("vector").isNull()).select(
+        F.col("description").alias("sentence_text")
+    )
+    made = embed_sentences(asked.distinct(), load).select(
+        F.col("sentence_text").alias("description"), F.col("embedding").alias("_made")
+    )
+    met = skew_safe_left_join(given, materialise(made, "vectors"), "description", "profile_id")
+    return met.withColumn("vector", F.coalesce("vector", "_made")).drop("_made")
+
+
+def embedded_descriptors(phrases: DataFrame, load: Callable[[], Callable]) -> DataFrame:
+    """(aspect, vector) of descriptor phrases (aspect, phrase): a few for each aspect."""
+    asked = phrases.select(F.col("phrase").alias("sentence_text")).distinct()
+    made = embed_sentences(asked, load).withColumnRenamed("sentence_text", "phrase")
+    return materialise(phrases.join(made, "phrase"), "descriptors").select(
+        "aspect", F.col("embedding").alias("vector")
+    )
+
+
 def enrich_profiles(
     profiles: DataFrame,
     rules: ProfileRules = DEFAULT_RULES,
@@ -171,8 +210,11 @@ def enrich_profiles(
     names: dict[str, str] = DISPLAY_NAMES,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """profile_id, description (and `vector`, if there are descriptors) -> structured intent."""
+    """profile_id, description -> structured intent. With descriptors, a profile's `vector`
+    helps where the rules find too little; without one it is left to the rules."""
     text = F.col("description")
+    if "vector" not in profiles.columns:
+        profiles = profiles.withColumn("vector", no_vector())
     staged = profiles.withColumn("_rules", rule_dims(text, rules, settings))
     no_extra = F.array().cast("array<struct<aspect:string,similarity:double>>")
     if descriptors is None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from guestsignal.config import DEFAULTS, SEGMENTS, Settings
 from guestsignal.functions.numbers import rounded, shrink
 from guestsignal.operators.evidence import scored_rows
+from guestsignal.operators.scale import materialise
 
 CELL = ("hotel_id", "aspect")
 
@@ -126,19 +127,23 @@ def conditioned_scores(
 
 
 def hotel_summary(reviews: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Identity and shrunk overall rating per hotel; the global mean is a scalar subquery.
+    """Identity and shrunk overall rating per hotel.
 
-    The name and category most of its reviews give a hotel are its own. They are group
-    keys at first, so the pass over the reviews is a hash aggregation of numbers; only
-    its small result is sorted for the pick.
+    The name and category most of its reviews give a hotel are its own (of equally frequent ones
+    the smaller pair). They are group keys at first, so the one pass over the reviews is a hash
+    aggregation of numbers; its small result is stored and gives the global mean as well.
     """
-    overall = reviews.agg(F.avg("rating").alias("g")).scalar()
     k = settings.shrinkage
-    named = reviews.groupBy("hotel_id", "hotel_name", "hotel_category").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("rating").alias("_r"),
-        F.count_if("verified").alias("_v"),
+    named = materialise(
+        reviews.groupBy("hotel_id", "hotel_name", "hotel_category").agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("rating").alias("_r"),
+            F.count("rating").alias("_rated"),
+            F.count_if("verified").alias("_v"),
+        ),
+        "named",
     )
+    overall = named.agg((F.sum("_r") / F.sum("_rated")).alias("g")).scalar()
     identity = F.struct("hotel_name", "hotel_category")
     grouped = (
         named.groupBy("hotel_id")

@@ -22,7 +22,7 @@ from guestsignal.functions.taxonomy import (
 )
 from guestsignal.operators import contradictions as contra
 from guestsignal.operators import evidence, explain, ingest, labels, profiles as people
-from guestsignal.operators import ranking, scoring, search, sentences, temporal
+from guestsignal.operators import ranking, reports, scoring, search, sentences, temporal
 from guestsignal.sources import files
 
 
@@ -38,6 +38,7 @@ def recommend(
     aspects: tuple[str, ...] = ASPECT_KEYS,
     names: dict[str, str] = DISPLAY_NAMES,
     settings: Settings = DEFAULTS,
+    drift_caveats: bool = False,
 ) -> DataFrame:
     """Enriched profiles + artifact tables -> nested recommendations."""
     segments = segments_of(rules)
@@ -57,7 +58,12 @@ def recommend(
     best = explain.best_quotes(tables["instances"], settings)
     quotes = explain.of_picked_hotels(best, described)
     explained = explain.explained_picks(
-        described, quotes, tables["contradictions"], names, settings
+        described,
+        quotes,
+        tables["contradictions"],
+        names,
+        settings,
+        tables["drift"] if drift_caveats else None,
     )
     return explain.rich_output(profiles, explained)
 
@@ -72,9 +78,14 @@ def build(
     embedder: Callable[[], Callable] | None = None,
     rules: ProfileRules = DEFAULT_RULES,
     settings: Settings = DEFAULTS,
+    drift_caveats: bool = False,
 ) -> dict[str, DataFrame]:
     """Run everything and leave the artifacts under `root`.
 
+    An embedder (an encoder) sees each sentence that the store of earlier runs lacks, and, if there are
+    descriptors (aspect, and vector or phrase), the descriptions of profiles that say too little.
+    `drift_caveats` adds what is known about seasons and trends of the asked aspects to the caveats.
+
     Without a scorer the word-list labeller runs in place. A scorer (a model) sees each
     distinct sentence once, and only those an earlier run has not labelled; the sentences
     are stored then, as four steps read them.
@@ -84,6 +95,7 @@ def build(
     tables: dict[str, DataFrame] = {}
     cleaned = ingest.load_reviews(raw_reviews, settings=settings)
     reviews = tables["reviews"] = keep("reviews", cleaned)
+    tables["rejected"] = keep("rejected", ingest.rejected_reviews(raw_reviews))
     pieces = sentences.sentence_instances(reviews)
     if scorer is None:
         labelled = evidence.label_in_place(
@@ -92,7 +104,7 @@ def build(
     else:
         pieces = keep("sentences", pieces)
         stored = f"{root}/labels_auto"
-        known = spark.read.parquet(stored) if files.exists(spark, stored) else None
+        known = spark.read.parquet(stored) if files.readable(spark, stored) else None
         missing = (
             sentences.distinct_sentences(pieces)
             if known is None
@@ -121,15 +133,24 @@ def build(
         "contradictions", contra.contradictions(splits, settings=settings)
     )
     if embedder is not None:
-        distinct = sentences.distinct_sentences(instances)
-        vectors = search.embed_sentences(distinct, embedder)
-        tables["embeddings"] = keep("embeddings", vectors)
+        tables["embeddings"] = files.add_embeddings(
+            spark, f"{root}/embeddings", instances.select("sentence_text"), embedder
+        )
     tables["search_index"] = keep("search_index", search.search_index(instances))
-    enriched = people.enrich_profiles(
-        ingest.load_profiles(raw_profiles), rules, descriptors, settings=settings
-    )
+    given = ingest.load_profiles(raw_profiles)
+    if embedder is not None and descriptors is not None:
+        if "vector" not in descriptors.columns:
+            descriptors = people.embedded_descriptors(descriptors, embedder)
+        given = people.with_vectors(given, embedder, rules, settings)
+    enriched = people.enrich_profiles(given, rules, descriptors, settings=settings)
     tables["profiles"] = keep("profiles", enriched)
-    rich = recommend(tables["profiles"], tables, rules, settings=settings)
+    files.write_profiles_json(tables["profiles"], f"{root}/profiles_json")
+    tables["seasonal_alerts"] = keep(
+        "seasonal_alerts", reports.seasonal_alerts(tables["drift"], tables["hotels"])
+    )
+    rich = recommend(
+        tables["profiles"], tables, rules, settings=settings, drift_caveats=drift_caveats
+    )
     files.write_outputs(rich, f"{root}/outputs")
     return tables
 

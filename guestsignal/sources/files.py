@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,15 +14,18 @@ from pyspark.sql import functions as F
 from guestsignal.functions.taxonomy import ASPECT_KEYS
 from guestsignal.operators.contracts import enforce_contract, submission_output
 from guestsignal.operators.ingest import (
+    DAMAGED,
     REQUIRED_PROFILE_COLUMNS,
     REQUIRED_REVIEW_COLUMNS,
     require_columns,
 )
 from guestsignal.operators.labels import pack_scores, unpack_scores
+from guestsignal.operators.search import embed_sentences
 from guestsignal.sources import schemas
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 ARTIFACTS = (
+    "rejected",
     "reviews",
     "instances",
     "segment_sums",
@@ -32,18 +40,29 @@ ARTIFACTS = (
 )
 # Partitioned by year: scans of a time range skip the rest of the corpus.
 BY_YEAR = ("instances", "monthly")
+BY_HOTEL = ("monthly", "scores", "drift", "contradictions", "hotels", "segment_sums")
+PUBLISHED = "number bigint, folder string"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def readable(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether a finished table lies there: writers move files into place when a job is committed."""
+    try:
+        spark.read.format(fmt).load(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def _read_records(
     spark: SparkSession, path: str, schema: str, fmt: str, json_array: bool
 ) -> DataFrame:
+    """Records by schema. Of JSON that can't be parsed the text is kept, in `damaged_record`: a
+    line, or the whole file if it is one array."""
     if fmt == "json":
-        return spark.read.schema(schema).option("multiLine", json_array).json(path)
+        options = {"multiLine": json_array, "columnNameOfCorruptRecord": DAMAGED, "mode": "PERMISSIVE"}
+        return spark.read.schema(f"{schema}, {DAMAGED} string").options(**options).json(path)
     if fmt == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unknown format {fmt!r}: json or parquet")
@@ -54,38 +73,40 @@ def read_reviews(
 ) -> DataFrame:
     """JSON Lines (splittable), one JSON array per file (`json_array`, not splittable) or Parquet.
 
-    With a fixed schema an absent JSON field reads as null, so each required field is
-    looked for first; the search stops at the first record that has it.
+    With a fixed schema an absent JSON field reads as null, so a record that has all required
+    ones is looked for first, which usually is the first one.
     """
     raw = _read_records(spark, path, schemas.RAW_REVIEWS, fmt, json_array)
     if fmt == "json":
-        _require_json_fields(spark, path, REQUIRED_REVIEW_COLUMNS, json_array, "reviews")
+        _require_json_fields(raw, REQUIRED_REVIEW_COLUMNS, "reviews")
     return require_columns(raw, REQUIRED_REVIEW_COLUMNS, "reviews")
 
 
 def read_profiles(
     spark: SparkSession, path: str, fmt: str = "json", json_array: bool = False
 ) -> DataFrame:
+    """Profiles; `vector`, an embedding of the description, may be given with each."""
     raw = _read_records(spark, path, schemas.RAW_PROFILES, fmt, json_array)
     if fmt == "json":
-        _require_json_fields(spark, path, REQUIRED_PROFILE_COLUMNS, json_array, "profiles")
+        _require_json_fields(raw, REQUIRED_PROFILE_COLUMNS, "profiles")
     return require_columns(raw, REQUIRED_PROFILE_COLUMNS, "profiles")
 
 
-def _require_json_fields(
-    spark: SparkSession, path: str, required: tuple[str, ...], json_array: bool, what: str
-) -> None:
-    """A field no record of the file has is a schema error, not a column of nulls."""
-    schema = ", ".join(f"`{c}` string" for c in required)
-    records = spark.read.schema(schema).option("multiLine", json_array).json(path)
-    for column in required:
-        if records.filter(F.col(column).isNotNull()).isEmpty():
-            raise ValueError(f"{what} missing required columns: ['{column}']")
+def _require_json_fields(records: DataFrame, required: tuple[str, ...], what: str) -> None:
+    """A field no record has is a schema error, not a column of nulls. Only if no record has all
+    of them is everything read, once, to name those that are missing."""
+    has = {c: F.col(c).isNotNull() for c in required}
+    if not records.filter(reduce(and_, has.values())).isEmpty():
+        return
+    found = records.agg(*[F.coalesce(F.bool_or(h), F.lit(False)).alias(c) for c, h in has.items()])
+    missing = [c for c, seen in found.first().asDict().items() if not seen]
+    if missing:
+        raise ValueError(f"{what} missing required columns: {missing}")
 
 
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Optional file: an absent path is an empty table."""
-    if not exists(spark, path):
+    if not readable(spark, path, "text"):
         return spark.createDataFrame([], schemas.OVERRIDES)
     table = spark.read.schema(schemas.OVERRIDES).options(**CSV_OPTIONS).csv(path)
     return table.withColumn("polarity", F.col("polarity").try_cast("double"))
@@ -107,8 +128,11 @@ def write_labels_csv(
 
 
 def write_artifact(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Write one table of a run and hand back the stored one: short lineage, pruned scans."""
+    """Write one table of a run and hand back the stored one: short lineage, pruned scans. Tables that
+    are asked for one hotel at a time are sorted by it, so that row groups of others are skipped."""
     path = f"{root}/{name}"
+    if name in BY_HOTEL:
+        df = df.sortWithinPartitions("hotel_id")
     if name in BY_YEAR:
         date = "review_date" if "review_date" in df.columns else "date"
         yearly = df.withColumn("year", F.year(date))
@@ -119,7 +143,7 @@ def write_artifact(df: DataFrame, root: str, name: str) -> DataFrame:
 
 
 def artifacts_exist(spark: SparkSession, root: str) -> bool:
-    return all(exists(spark, f"{root}/{name}/_SUCCESS") for name in ARTIFACTS)
+    return all(readable(spark, f"{root}/{name}") for name in ARTIFACTS)
 
 
 def load_artifacts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -128,41 +152,124 @@ def load_artifacts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in ARTIFACTS}
 
 
-def write_embeddings(embeddings: DataFrame, path: str) -> None:
-    embeddings.select("sentence_text", "embedding").write.mode("overwrite").parquet(path)
+# --- versions: written aside, published by one small row --------------------------------
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The folder readers use: the one that was published last."""
+    log = f"{root}/published"
+    if not readable(spark, log):
+        return None
+    last = F.max_by("folder", F.struct("number", "folder")).alias("folder")
+    return spark.read.schema(PUBLISHED).parquet(log).agg(last).first().folder
+
+
+def publish(spark: SparkSession, root: str, write: Callable[[str], None]) -> str:
+    """`write` puts a version's tables into a new folder; once all of them are there, a row that
+    names it is appended to the log readers look into. Until then, and for good if `write`
+    fails or dies, readers see the version before. Earlier folders stay; remove them by age."""
+    folder = f"{root}/versions/{uuid.uuid4().hex}"
+    write(folder)
+    log = f"{root}/published"
+    number = 0
+    if readable(spark, log):
+        number = spark.read.schema(PUBLISHED).parquet(log).agg(F.max("number")).first()[0] + 1
+    row = spark.createDataFrame([(number, folder)], PUBLISHED)
+    row.coalesce(1).write.mode("append").parquet(log)
+    return folder
+
+
+# --- embeddings -------------------------------------------------------------------------
+
+
+def add_embeddings(
+    spark: SparkSession, root: str, sentences: DataFrame, load: Callable[[], Callable]
+) -> DataFrame:
+    """The store under `root` with vectors of all `sentences`: the encoder sees those that have none.
+
+    Rows are keyed by a hash of their sentence and only ever appended, so a run that dies leaves
+    what was there. The hash is what the store and the sentences are joined by first; the text decides.
+    """
+    folder = current_version(spark, root) or publish(spark, root, lambda path: _no_vectors(spark, path))
+    key = F.xxhash64("sentence_text").alias("sentence_hash")
+    known = spark.read.schema(schemas.EMBEDDING_STORE).parquet(folder)
+    missing = (
+        sentences.select(key, "sentence_text").distinct()
+        .join(known.select("sentence_hash", "sentence_text"), ["sentence_hash", "sentence_text"], "left_anti")
+    )
+    fresh = embed_sentences(missing, load).select(key, "sentence_text", "embedding")
+    fresh.write.mode("append").parquet(folder)
+    return read_embeddings(spark, root)
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.EMBEDDINGS).parquet(path)
+def _no_vectors(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], schemas.EMBEDDING_STORE).write.parquet(path)
+
+
+def compact_embeddings(spark: SparkSession, root: str) -> None:
+    """Rewrite the store as a new version: few files, by hash, and each sentence once (two runs at the
+    same time may both have added one). Readers change over when it is complete."""
+    stored = spark.read.schema(schemas.EMBEDDING_STORE).parquet(current_version(spark, root))
+    keys = ["sentence_hash", "sentence_text"]
+    once = stored.groupBy(*keys).agg(F.min("embedding").alias("embedding"))
+    ordered = once.repartitionByRange("sentence_hash").sortWithinPartitions("sentence_hash")
+    publish(spark, root, lambda path: ordered.write.parquet(path))
+
+
+def read_embeddings(spark: SparkSession, root: str) -> DataFrame:
+    """sentence_text and embedding, each sentence once."""
+    folder = current_version(spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"no embeddings under {root}")
+    stored = spark.read.schema(schemas.EMBEDDING_STORE).parquet(folder)
+    return stored.groupBy("sentence_hash", "sentence_text").agg(
+        F.min("embedding").alias("embedding")
+    ).drop("sentence_hash")
+
+
+def write_embeddings(embeddings: DataFrame, root: str) -> None:
+    """A store made of finished vectors, as a new version."""
+    keyed = embeddings.select(F.xxhash64("sentence_text").alias("sentence_hash"), "sentence_text", "embedding")
+    publish(embeddings.sparkSession, root, lambda path: keyed.write.parquet(path))
+
+
+# --- outputs ----------------------------------------------------------------------------
 
 
 def write_profiles_json(profiles: DataFrame, path: str) -> None:
     profiles.write.mode("overwrite").json(path)
 
 
-def write_outputs(rich: DataFrame, root: str) -> None:
-    """Both shapes as JSON datasets, and the rich one as Parquet for lookups.
+def write_outputs(rich: DataFrame, root: str) -> str:
+    """Publish a version with both shapes as JSON datasets, and the rich one as Parquet for lookups.
 
     The Parquet copy is range-partitioned and sorted by profile_id, so that a lookup
-    reads the row groups around its id. It is written aside first and checked there: if the
-    contract is broken, the outputs of the run before stay as they are.
+    reads the row groups around its id. The contract is checked on it; if it is broken, or the run
+    dies in between, readers keep the version before.
     """
-    ordered = rich.repartitionByRange("profile_id").sortWithinPartitions("profile_id")
-    ordered.write.mode("overwrite").parquet(f"{root}/rich_staging")
-    stored = enforce_contract(rich.sparkSession.read.parquet(f"{root}/rich_staging"))
-    again = stored.repartitionByRange("profile_id").sortWithinPartitions("profile_id")
-    again.write.mode("overwrite").parquet(f"{root}/rich_lookup")
-    stored.write.mode("overwrite").json(f"{root}/rich")
-    submission_output(stored).write.mode("overwrite").json(f"{root}/submission")
+    spark = rich.sparkSession
+
+    def write(folder: str) -> None:
+        ordered = rich.repartitionByRange("profile_id").sortWithinPartitions("profile_id")
+        ordered.write.parquet(f"{folder}/rich_lookup")
+        stored = enforce_contract(spark.read.parquet(f"{folder}/rich_lookup"))
+        stored.write.json(f"{folder}/rich")
+        submission_output(stored).write.json(f"{folder}/submission")
+
+    return publish(spark, root, write)
 
 
 def load_rich_output(spark: SparkSession, root: str, profile_id: str) -> DataFrame:
-    """Zero or one row; zero as well when nothing has been written yet."""
-    path = f"{root}/rich_lookup"
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return spark.createDataFrame([], "profile_id string")
-        raise
+    """Zero or one row; zero as well when nothing has been published yet."""
+    folder = current_version(spark, root)
+    if folder is None:
+        return spark.createDataFrame([], "profile_id string")
+    stored = spark.read.parquet(f"{folder}/rich_lookup")
     return stored.filter(F.col("profile_id") == profile_id)
+
+
+def load_submission(spark: SparkSession, root: str) -> DataFrame:
+    folder = current_version(spark, root)
+    if folder is None:
+        raise FileNotFoundError(f"no outputs under {root}")
+    return spark.read.json(f"{folder}/submission")

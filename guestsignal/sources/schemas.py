@@ -8,10 +8,10 @@ RAW_REVIEWS = (
     "rating string, review_date string, review_text string, verified string, "
     "traveler_type string"
 )
-RAW_PROFILES = "profile_id string, description string"
+RAW_PROFILES = "profile_id string, description string, vector array<float>"
 OVERRIDES = "sentence_text string, aspects string, polarity string, reason string"
 LABELS_CSV = (
     "sentence_text string, aspects string, polarity double, top_aspect_score double, "
     "aspect_scores string"
 )
-EMBEDDINGS = "sentence_text string, embedding array<float>"
+EMBEDDING_STORE = "sentence_hash bigint, sentence_text string, embedding array<float>"

@@ -6,8 +6,9 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from guestsignal.operators import labels
+from guestsignal.operators import ingest, labels
 from guestsignal.plans.build import build, run_summary
 from guestsignal.sources import files
 
@@ -51,7 +52,8 @@ def test_tables_and_reload(spark, world):
     _, _, out, tables = world
     assert files.artifacts_exist(spark, out)
     again = files.load_artifacts(spark, out)
-    assert {n: again[n].count() for n in tables} == {n: t.count() for n, t in tables.items()}
+    assert {n: again[n].count() for n in again} == {n: tables[n].count() for n in again}
+    assert spark.read.json(out + "/profiles_json").count() == 3
     summary = run_summary(tables).first().asDict()
     assert summary["n_reviews"] == 400 and summary["n_hotels"] == 6 and summary["n_profiles"] == 3
     assert "year" in again["instances"].columns
@@ -59,7 +61,7 @@ def test_tables_and_reload(spark, world):
 
 def test_outputs(spark, world):
     out = world[2] + "/outputs"
-    submission = {r.profile_id: r for r in spark.read.json(out + "/submission").collect()}
+    submission = {r.profile_id: r for r in files.load_submission(spark, out).collect()}
     assert set(submission) == {"P1", "P2"}  # without dimensions there are no quotes
     ranks = [h["rank"] for h in submission["P1"].top_hotels]
     assert ranks == sorted(ranks) and 1 <= len(ranks) <= 5
@@ -116,6 +118,121 @@ def test_reader_names_missing_fields(spark, tmp_path):
         files.read_reviews(spark, str(tmp_path / "r.json"))
 
 
+def test_damaged_records_are_kept_apart(spark, tmp_path):
+    """A line cut off in the middle and one that is no JSON are reported with their text."""
+    good = reviews(20)
+    lines = [json.dumps(r) for r in good]
+    cut, noise = lines[7][:60], "no json at all"
+    (tmp_path / "r.json").write_text("\n".join([*lines[:7], cut, *lines[8:], noise]))
+    raw = files.read_reviews(spark, str(tmp_path / "r.json"))
+    assert {r.review_id for r in ingest.clean_reviews(raw).collect()} == {r["review_id"] for r in good} - {"r7"}
+    assert "damaged_record" not in ingest.clean_reviews(raw).columns
+    rejected = ingest.rejected_reviews(raw).collect()
+    assert {(r.damaged_record, r.reject_reason) for r in rejected} == {
+        (cut, "damaged record"), (noise, "damaged record")}
+    (tmp_path / "p.json").write_text('{"profile_id": "P1", "description": "x"}\n{"profile_id": "P2", "descr')
+    assert [r.profile_id for r in ingest.load_profiles(files.read_profiles(spark, str(tmp_path / "p.json"))).collect()] == ["P1"]
+
+
+def test_missing_fields_are_found_in_one_pass(spark, tmp_path):
+    """No record has all fields, but each field is in some record: nothing is missing."""
+    one, other = dict(reviews(1)[0]), dict(reviews(1)[0])
+    del one["rating"], other["verified"]
+    (tmp_path / "r.json").write_text(json.dumps(one) + "\n" + json.dumps(other))
+    assert files.read_reviews(spark, str(tmp_path / "r.json")).count() == 2
+    del other["rating"]
+    (tmp_path / "s.json").write_text(json.dumps(one) + "\n" + json.dumps(other))
+    with pytest.raises(ValueError, match=r"\['rating'\]"):
+        files.read_reviews(spark, str(tmp_path / "s.json"))
+
+
+RICH = ("profile_id string, archetype string, profile_summary string, desired_dims array<string>, recommendations "
+        "array<struct<rank:int,hotel_id:string,hotel_name:string,hotel_category:string,score:double,"
+        "justification:string,supporting_evidence:array<struct<review_id:string,quote:string,aspect:string,"
+        "date:string,verified:boolean,sentiment:double>>>>")
+
+
+def rich(spark, profile_id, justification="j"):
+    pick = (1, "h", "H", "3-star", 4.0, justification, [("r", "q", "a", "2025-01-01", True, 0.5)])
+    return spark.createDataFrame([(profile_id, "x", "s", ["a"], [pick])], RICH)
+
+
+def test_publishing_changes_all_outputs_or_none(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "out")
+    files.write_outputs(rich(spark, "old"), root)
+    shown = lambda: (
+        files.load_rich_output(spark, root, "old").count(), files.load_rich_output(spark, root, "new").count(),
+        [r.profile_id for r in files.load_submission(spark, root).collect()])
+    assert shown() == (1, 0, ["old"])
+    with pytest.raises(ValueError):  # breaks the contract
+        files.write_outputs(rich(spark, "new", "long " * 400), root)
+    assert shown() == (1, 0, ["old"])
+    with monkeypatch.context() as dies:  # dies between the lookup table and the submission
+        dies.setattr(files, "submission_output", lambda stored: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            files.write_outputs(rich(spark, "new"), root)
+    assert shown() == (1, 0, ["old"])
+    files.write_outputs(rich(spark, "new"), root)
+    assert shown() == (0, 1, ["new"])
+
+
+def counting_embedder(log):
+    """Vectors of sentences; each sentence that is encoded leaves a line in a file."""
+    def load():
+        def encode(texts):
+            with open(log, "a") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+        return encode
+    return load
+
+
+def test_embedding_store_grows_by_new_sentences(spark, tmp_path):
+    log, root = tmp_path / "log", str(tmp_path / "store")
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "sentence_text string")
+    first = files.add_embeddings(spark, root, frame(["a", "bb", "bb"]), counting_embedder(str(log)))
+    assert sorted(r.sentence_text for r in first.collect()) == ["a", "bb"]
+    files.add_embeddings(spark, root, frame(["bb", "ccc", "a"]), counting_embedder(str(log)))
+    assert sorted(log.read_text().split()) == ["a", "bb", "ccc"]
+    before = sorted(files.read_embeddings(spark, root).collect(), key=str)
+    folder = files.current_version(spark, root)
+    spark.read.parquet(folder).write.mode("append").parquet(folder)  # what two runs at once may leave
+    assert sorted(files.read_embeddings(spark, root).collect(), key=str) == before
+    files.compact_embeddings(spark, root)
+    assert files.current_version(spark, root) != folder
+    assert spark.read.parquet(files.current_version(spark, root)).count() == 3
+    assert sorted(files.read_embeddings(spark, root).collect(), key=str) == before
+
+
+def test_second_build_embeds_only_new_sentences_and_thin_profiles_get_dims(spark, world, tmp_path):
+    """Descriptions and descriptors go through the same encoder; profiles are JSON without vectors."""
+    raw, root, log = world[0], str(tmp_path / "run"), tmp_path / "log"
+
+    def load():
+        def encode(texts):
+            with open(log, "a") as out:
+                out.writelines(f"{t}\n" for t in texts)
+            return [[1.0, 0.0] if "stroll" in t or "step" in t else [0.0, 1.0] for t in texts]
+        return encode
+
+    (tmp_path / "p.json").write_text(json.dumps({"profile_id": "T1", "description": "Likes to stroll about"}) + "\n"
+                                     + json.dumps({"profile_id": "T2", "description": "Wants safe, quiet and clean rooms"}))
+    people = files.read_profiles(spark, str(tmp_path / "p.json"))
+    phrases = spark.createDataFrame([("location_central", "a step from everything")], "aspect string, phrase string")
+    tables = build(raw, people, root, embedder=load, descriptors=phrases)
+    found = {r.profile_id: (r.embedding_dims, r.desired_dims) for r in tables["profiles"].collect()}
+    assert found["T1"] == (["location_central"], ["location_central"]) and found["T2"][0] == []
+    seen = log.read_text().splitlines()
+    assert "Likes to stroll about" in seen and not any("Wants safe" in s for s in seen)
+    sentences = {r.sentence_text for r in tables["instances"].select("sentence_text").distinct().collect()}
+    assert {r.sentence_text for r in tables["embeddings"].collect()} == sentences
+    log.write_text("")
+    extra = raw.limit(1).withColumns({"review_id": F.lit("fresh"), "review_text": F.lit("A sentence nobody wrote before.")})
+    build(raw.unionByName(extra), people, root, embedder=load, descriptors=phrases, drift_caveats=True)
+    again = set(log.read_text().splitlines())
+    assert again - {"Likes to stroll about", "a step from everything"} == {"A sentence nobody wrote before."}
+
+
 def test_embeddings_round_trip(spark, tmp_path):
     table = spark.createDataFrame([("s", [0.6, 0.8])], "sentence_text string, embedding array<float>")
     files.write_embeddings(table, str(tmp_path / "e"))
