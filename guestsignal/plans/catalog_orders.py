@@ -10,7 +10,7 @@ from guestsignal.config import DEFAULTS
 from guestsignal.functions import bands
 from guestsignal.functions.numbers import rounded, weighted_mean
 from guestsignal.operators import contradictions as contra
-from guestsignal.operators import ingest, reports, scoring, temporal
+from guestsignal.operators import evidence, ingest, reports, scoring, temporal
 from guestsignal.operators.scale import materialise
 from guestsignal.plans import oracle_views as o
 from guestsignal.plans.registry import query, r
@@ -25,6 +25,15 @@ A_HOTEL = "7"
 P = 6
 
 
+def order_rows(spark, sf):
+    """All reviews with their instance, stored once and sorted by hotel: each table of a report
+    derives from it, and what asks for one hotel skips the row groups of the others."""
+    rows = v.order_reviews(spark, sf).withColumn("is_general", F.lit(False))
+    stored = materialise(rows.sortWithinPartitions("hotel_id"), "orders")
+    anchor = stored.agg(F.max("review_date").alias("d")).scalar()
+    return evidence.add_weight(ingest.add_trust(ingest.add_recency(stored, anchor=anchor)))
+
+
 def sums(spark, sf):
     return scoring.raw_segment_sums(v.order_instances(spark, sf))
 
@@ -46,9 +55,9 @@ def seasonal_tests(spark, sf):
     return temporal.seasonal_tests(values(spark, sf))
 
 
-def raw_tier_drift(spark, sf):
+def raw_tiers(tested):
     """Tiers of uncorrected p-values, so that reports and penalties have something to show."""
-    return tests(spark, sf).withColumns(
+    return tested.withColumns(
         {
             "seasonal_tier": bands.confidence_tier(F.col("kw_p")),
             "trend_tier": bands.confidence_tier(F.col("trend_p")),
@@ -56,6 +65,15 @@ def raw_tier_drift(spark, sf):
     )
 
 
+def raw_tier_drift(spark, sf):
+    return raw_tiers(tests(spark, sf))
+
+
+def drift_of(rows):
+    """The same of stored rows, stored as well: reports read it several times."""
+    return materialise(raw_tiers(temporal.drift_tests(temporal.test_values(rows, rows))), "drift")
+
+
 def splits(spark, sf):
     return contra.cell_splits(v.order_instances(spark, sf), v.ORDER_SEGMENTS)
 
@@ -171,7 +189,7 @@ def aspect_priors(spark, sf):
 
 
 def all_scores(spark, sf):
-    raw = sums(spark, sf)
+    raw = materialise(sums(spark, sf), "sums")
     return scoring.aspect_scores(raw, scoring.aspect_priors(raw))
 
 
@@ -232,8 +250,10 @@ def hotel_summary(spark, sf):
     return hotels(spark, sf)
 
 
-def conditioned(spark, sf):
-    raw = sums(spark, sf)
+def conditioned(spark, sf, rows=None):
+    raw = materialise(
+        sums(spark, sf) if rows is None else scoring.raw_segment_sums(rows), "sums"
+    )
     return scoring.conditioned_scores(
         scoring.segment_sums(raw), scoring.aspect_priors(raw), v.ORDER_SEGMENTS
     )
@@ -494,8 +514,9 @@ def contradictions(spark, sf):
     from hotels""",
 )
 def estate_totals(spark, sf):
-    cells = sums(spark, sf)
-    return reports.estate_totals(hotels(spark, sf), cells, v.table(spark, sf, "part"))
+    rows = order_rows(spark, sf)
+    cells = scoring.raw_segment_sums(rows)
+    return reports.estate_totals(scoring.hotel_summary(rows), cells, v.table(spark, sf, "part"))
 
 
 @query("hotel_kpis", f"{WITH_HOTELS} select {HOTEL_COLUMNS} from hotels where hotel_id = '{A_HOTEL}'")
@@ -515,7 +536,9 @@ def hotel_kpis(spark, sf):
     from months left join drift on drift.hotel_id = months.hotel_id and aspect = 'overall'""",
 )
 def hotel_timeline(spark, sf):
-    line = reports.hotel_timeline(monthly(spark, sf), raw_tier_drift(spark, sf), A_HOTEL)
+    rows = order_rows(spark, sf)
+    drifted = raw_tiers(temporal.drift_tests(temporal.test_values(rows, rows)))
+    line = reports.hotel_timeline(temporal.monthly_series(rows, rows), drifted, A_HOTEL)
     return line.withColumn("value", rounded(F.col("value"), P)).withColumn(
         "date", F.date_format("date", "yyyy-MM-dd")
     )
@@ -527,7 +550,7 @@ def hotel_timeline(spark, sf):
     from scores join pri using (aspect) where hotel_id = '{A_HOTEL}'""",
 )
 def aspect_scorecard(spark, sf):
-    raw = sums(spark, sf)
+    raw = materialise(sums(spark, sf), "sums")
     priors = scoring.aspect_priors(raw)
     card = reports.aspect_scorecard(scoring.aspect_scores(raw, priors), priors, A_HOTEL)
     return card.withColumn("prior", rounded(F.col("prior"), P))
@@ -598,7 +621,8 @@ WITH_DRIFT_HOTELS = f"{WITH_DRIFT}, {o.HOTELS.format(source='ins')}"
     f"{WITH_DRIFT_HOTELS} {_movers_sql('improving', 'desc')} union all {_movers_sql('declining', 'asc')}",
 )
 def top_movers(spark, sf):
-    drifted, named = raw_tier_drift(spark, sf), hotels(spark, sf)
+    rows = order_rows(spark, sf)
+    drifted, named = drift_of(rows), scoring.hotel_summary(rows)
     up = reports.top_movers(drifted, named, "improving")
     return up.unionByName(reports.top_movers(drifted, named, "declining"))
 
@@ -611,7 +635,8 @@ def top_movers(spark, sf):
     order by season_gap desc, hotel_id, aspect limit 12""",
 )
 def seasonal_alerts(spark, sf):
-    return reports.seasonal_alerts(raw_tier_drift(spark, sf), hotels(spark, sf))
+    rows = order_rows(spark, sf)
+    return reports.seasonal_alerts(drift_of(rows), scoring.hotel_summary(rows))
 
 
 @query(
@@ -626,7 +651,8 @@ def seasonal_alerts(spark, sf):
       where aspect = 'overall' and trend_p < 0.05e0 order by trend_p, hotel_id limit 10)""",
 )
 def raw_signals(spark, sf):
-    drifted, named = tests(spark, sf), hotels(spark, sf)
+    rows = order_rows(spark, sf)
+    drifted, named = drift_of(rows), scoring.hotel_summary(rows)
     seasonal = reports.raw_seasonal_signals(drifted, named).select(
         F.lit("seasonal").alias("kind"),
         "hotel_id",

@@ -218,11 +218,12 @@ DRIFT_RANK_SQL = (
 
 
 def supplier_picks(spark, sf, with_drift=True, people=None):
+    rows = orders.order_rows(spark, sf)
     return ranking.rank_all(
         people or order_profiles(spark, sf),
-        orders.conditioned(spark, sf),
-        orders.hotels(spark, sf),
-        orders.raw_tier_drift(spark, sf) if with_drift else None,
+        orders.conditioned(spark, sf, rows),
+        scoring.hotel_summary(rows),
+        orders.drift_of(rows) if with_drift else None,
         v.ORDER_SEGMENTS,
         v.ORDER_ASPECTS,
         v.ORDER_RULES.category_fit,
@@ -339,8 +340,8 @@ SPLIT = replace(DEFAULTS, min_split_gap=CONTRA_GAP)
 
 
 def explained(spark, sf, people):
-    instances = materialise(v.document_instances(spark, sf))
-    raw = scoring.raw_segment_sums(instances)
+    instances = materialise(v.document_instances(spark, sf), "instances")
+    raw = materialise(scoring.raw_segment_sums(instances), "sums")
     conditioned = scoring.conditioned_scores(
         scoring.segment_sums(raw), scoring.aspect_priors(raw), v.DOCUMENT_SEGMENTS
     )
@@ -364,8 +365,12 @@ def intent_picks(spark, sf):
     return explained(spark, sf, document_profiles(spark, sf))
 
 
-def rich(spark, sf):
-    people = materialise(document_profiles(spark, sf))
+def rich(spark, sf, profile_ids=None):
+    """Records of all profiles, or of some: a profile's record does not depend on the others."""
+    people = document_profiles(spark, sf)
+    if profile_ids is not None:
+        people = people.filter(F.col("profile_id").isin(*profile_ids))
+    people = materialise(people, "people")
     return explain.rich_output(people, explained(spark, sf, people))
 
 
@@ -563,7 +568,7 @@ CHOSEN = ("3", "17", "42", "99")
     f"{RICH_SQL} select {RICH_COLUMNS} from rich where profile_id = '{A_PROFILE}'",
 )
 def profile_lookup(spark, sf):
-    return _flat(rich(spark, sf).filter(F.col("profile_id") == A_PROFILE))
+    return _flat(rich(spark, sf, [A_PROFILE]).filter(F.col("profile_id") == A_PROFILE))
 
 
 @query(
@@ -572,6 +577,6 @@ def profile_lookup(spark, sf):
     from rich where profile_id in {CHOSEN}""",
 )
 def compare_profiles(spark, sf):
-    return reports.compare_profiles(rich(spark, sf), list(CHOSEN)).select(
+    return reports.compare_profiles(rich(spark, sf, CHOSEN), list(CHOSEN)).select(
         "profile_id", "archetype", F.col("rank").cast("bigint").alias("rank"), "hotel_id", "score"
     )
