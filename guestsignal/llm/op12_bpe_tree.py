@@ -44,11 +44,11 @@ LEAF, LONG = 1_024, 1_024
 #: Bytes from which on a text's stretches become rows for several tasks.
 SPREAD = 1 << 16
 #: Pieces and words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Texts that are encoded at once.
 ROWS = 256
 #: Tokens that are decoded at once.
-TOKENS = 1 << 22
+TOKENS = 1 << 20
 
 #: Fixed value: the split of the supported vocabulary after lower-casing.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -137,6 +137,7 @@ class TreeEncoder:
         self.marks = re.compile(f"({marks})") if marks else None
         self.letters = _byte_letters()
         self.pieces, self.plain_words, self.words = Remembered(), Remembered(), Remembered()
+        self.vocabulary: pa.Array | None = None
         self.long_piece = re.compile(f"[^\\x20\\x09-\\x0D]{{{long},}}")
 
     # -- cutting ---------------------------------------------------------------------------
@@ -317,11 +318,25 @@ class TreeEncoder:
             place += len(unit)
         return None
 
-    # -- decoding --------------------------------------------------------------------------
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Texts of lists of ids."""
+        if self.vocabulary is None:
+            self.vocabulary = vocabulary(self.tokenizer)
+        return _texts(ids, self.vocabulary)
 
-    def vocabulary(self) -> pa.Array:
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        return pa.array([self.tokenizer.id_to_token(i) or "" for i in range(n)])
+
+def vocabulary(tokenizer) -> pa.Array:
+    """The tokens by id; ValueError if texts are made of them in another way than with a space between."""
+    if tokenizer.decoder is not None:
+        raise ValueError("this tokenizer has a decoder of its own")
+    n = tokenizer.get_vocab_size(with_added_tokens=True)
+    return pa.array([tokenizer.id_to_token(i) or "" for i in range(n)])
+
+
+def _texts(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    edge = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())])
+    shown = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), tokens.take(ids.flatten()))
+    return pc.binary_join(shown, " ")
 
 
 def _halves(kind: str, content: str, most: int) -> list[Stretch]:
@@ -405,32 +420,63 @@ def encode(
     docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, long: int = LONG, spread: int = SPREAD
 ) -> DataFrame:
     """doc_id and ids (array of int) of each row's whole text."""
-    path = tokenizer or default_tokenizer()
+    return _encoded(docs, Plan(tokenizer or default_tokenizer(), leaf, long, spread, False))
+
+
+def round_trip(
+    docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, long: int = LONG, spread: int = SPREAD
+) -> DataFrame:
+    """The same with `decoded`, the text of the ids, made where they are."""
+    return _encoded(docs, Plan(tokenizer or default_tokenizer(), leaf, long, spread, True))
+
+
+@dataclass(frozen=True)
+class Plan:
+    path: str
+    leaf: int
+    long: int
+    spread: int
+    decoded: bool
+
+    @property
+    def schema(self) -> str:
+        return "doc_id bigint, ids array<int>" + ", decoded string" * self.decoded
+
+    def encoder(self) -> TreeEncoder:
+        return _encoder(self.path, self.leaf, self.long)
+
+    def columns(self, doc_id: pa.Array, found: list[bytes]) -> dict[str, pa.Array]:
+        ids = _id_lists(found)
+        out = {"doc_id": doc_id, "ids": ids}
+        return out | {"decoded": self.encoder().decode(ids)} if self.decoded else out
+
+
+def _encoded(docs: DataFrame, plan: Plan) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
 
     def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path, leaf, long)
+        own = plan.encoder()
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 some = batch.slice(start, ROWS)
                 texts = some.column("text").to_pylist()
                 found = []
-                for text, looked_into in zip(texts, _has_long_piece(some, long)):
-                    cut = own.cut(text, leaf) if looked_into else _halves(TEXT, text, leaf)
+                for text, looked_into in zip(texts, _has_long_piece(some, plan.long)):
+                    cut = own.cut(text, plan.leaf) if looked_into else _halves(TEXT, text, plan.leaf)
                     found.append(b"".join(own.put_together([own.encoded(s) for s in cut]).ids))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), _id_lists(found)], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_pydict(plan.columns(some.column("doc_id"), found))
 
     size = F.octet_length("text")
-    short = rows.filter(size <= spread).mapInArrow(here, "doc_id bigint, ids array<int>")
-    return short.unionByName(_dealt(rows.filter(size > spread), path, leaf, long, spread))
+    short = rows.filter(size <= plan.spread).mapInArrow(here, plan.schema)
+    return short.unionByName(_dealt(rows.filter(size > plan.spread), plan))
 
 
 STRETCHES = "doc_id bigint, th string, copies bigint, k int, kind string, content string, cut_left boolean, cut_right boolean"
 
 
-def _dealt(rows: DataFrame, path: str, leaf: int, long: int, spread: int) -> DataFrame:
+def _dealt(rows: DataFrame, plan: Plan) -> DataFrame:
     """The same for long texts: their stretches are encoded wherever there is a task and put
     together by document, equal rows once."""
     th = F.sha2("text", 256)
@@ -439,11 +485,11 @@ def _dealt(rows: DataFrame, path: str, leaf: int, long: int, spread: int) -> Dat
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path, leaf, long)
+        own = plan.encoder()
         for batch in batches:
             for start in range(batch.num_rows):
                 row = batch.slice(start, 1).to_pylist()[0]
-                parts = own.cut(row["text"], spread // 4)
+                parts = own.cut(row["text"], plan.spread // 4)
                 n = len(parts)
                 same = lambda value, kind: pa.array([value] * n, kind)
                 yield pa.RecordBatch.from_arrays(
@@ -457,7 +503,7 @@ def _dealt(rows: DataFrame, path: str, leaf: int, long: int, spread: int) -> Dat
                 )
 
     def encode_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path, leaf, long)
+        own = plan.encoder()
         for batch in batches:
             for start in range(batch.num_rows):
                 some = batch.slice(start, 1)
@@ -470,18 +516,19 @@ def _dealt(rows: DataFrame, path: str, leaf: int, long: int, spread: int) -> Dat
                 )
 
     def put_together(parts: pa.Table) -> pa.Table:
-        own = _encoder(path, leaf, long)
+        own = plan.encoder()
         ordered = sorted(parts.to_pylist(), key=lambda r: r["k"])
         ids = b"".join(own.put_together([_again(r) for r in ordered]).ids)
-        copies, doc_id = ordered[0]["copies"], ordered[0]["doc_id"]
-        return pa.table({"doc_id": pa.array([doc_id], pa.int64()), "copies": [copies], "ids": _id_lists([ids])})
+        doc_id = pa.array([ordered[0]["doc_id"]], pa.int64())
+        return pa.table(plan.columns(doc_id, [ids]) | {"copies": pa.array([ordered[0]["copies"]])})
 
     dealt = once.mapInArrow(cut, STRETCHES).repartition(tasks(rows.sparkSession), "doc_id", "th", "k")
     whole = (
         dealt.mapInArrow(encode_stretches, f"{STRETCHES}, ids binary, sizes binary")
-        .groupBy("doc_id", "th").applyInArrow(put_together, "doc_id bigint, copies bigint, ids array<int>")
+        .groupBy("doc_id", "th").applyInArrow(put_together, f"{plan.schema}, copies bigint")
     )
-    return whole.select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
+    again = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copies")
+    return whole.withColumn("copies", again).drop("copies")
 
 
 def _paired(found: Encoded) -> Iterator[tuple]:
@@ -513,24 +560,21 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     schema = encoded.withColumn("decoded", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(path, LEAF, LONG)
-        vocabulary = own.vocabulary()
-        if own.tokenizer.decoder is not None:
-            raise ValueError("this tokenizer has a decoder of its own")
+        from tokenizers import Tokenizer
+
+        tokens = vocabulary(Tokenizer.from_file(path))
         for batch in batches:
             sizes = pc.list_value_length(batch.column("ids")).fill_null(0).to_numpy()
             for start, stop in chunks(sizes, TOKENS):
                 some = batch.slice(start, stop - start)
-                edge = np.concatenate([[0], np.cumsum(sizes[start:stop])]).astype(np.int32)
-                tokens = vocabulary.take(some.column("ids").flatten())
-                decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge), tokens), " ")
+                decoded = _texts(some.column("ids"), tokens)
                 yield pa.RecordBatch.from_arrays([*some.columns, decoded], [*names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = decode(encode(table(spark, sf_dir, "documents")))
+    made = round_trip(table(spark, sf_dir, "documents"))
     numbers = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return made.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),

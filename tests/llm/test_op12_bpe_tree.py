@@ -66,7 +66,9 @@ def test_rows_of_all_kinds(spark, library):
     rows = [(i if i % 7 else None, t, "clash", "clash") for i, t in enumerate(texts)]
     rows += [rows[-1], rows[-1]]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, decoded string").repartition(3)
-    found = op12.decode(op12.encode(docs, leaf=64, long=100, spread=2000)).collect()
+    sizes = {"leaf": 64, "long": 100, "spread": 2000}
+    found = op12.decode(op12.encode(docs, **sizes)).collect()
+    assert sorted(found, key=str) == sorted(op12.round_trip(docs, **sizes).collect(), key=str)
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = []
     for doc_id, text, *_ in rows:
@@ -74,6 +76,8 @@ def test_rows_of_all_kinds(spark, library):
         want.append((doc_id, ids, library.decode(ids, skip_special_tokens=False)))
     assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in found), key=key) == sorted(want, key=key)
     assert op12.decode(op12.encode(docs.limit(0))).count() == 0
+    nothing = spark.createDataFrame([(1, None, "x")], "doc_id bigint, ids array<int>, decoded string")
+    assert [tuple(r) for r in op12.decode(nothing).collect()] == [(1, None, "")]
 
 
 def test_other_kinds_of_tokenizers_are_refused(tmp_path, library):
