@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestsignal.config import DEFAULTS, EXPLAINING_SEGMENTS, Settings
+from guestsignal.functions import wording
 from guestsignal.functions.numbers import rounded, signed_2dp
 from guestsignal.functions.text import capitalised
 from guestsignal.operators.evidence import scored_rows
@@ -78,44 +79,23 @@ def split_gap(prefix: str, settings: Settings = DEFAULTS) -> Column:
     return F.when(enough, _mean(prefix) - _rest_mean(prefix))
 
 
-def _story(prefix: str, subject: Column, leans: tuple[str, str], other: str) -> Column:
+def _story(prefix: str, text: str, leans: tuple[str, str], *subject: Column) -> Column:
+    """One of the fixed texts; only used where both means exist."""
     gap = _mean(prefix) - _rest_mean(prefix)
     lean = F.when(gap > 0, leans[0]).otherwise(leans[1])
-    return F.concat(
-        subject,
-        F.lit(" "),
-        lean,
-        F.lit(" ("),
-        signed_2dp(_mean(prefix)),
-        F.lit(" vs "),
-        signed_2dp(_rest_mean(prefix)),
-        F.lit(f" {other})."),
-    )
+    means = signed_2dp(_mean(prefix)), signed_2dp(_rest_mean(prefix))
+    return F.format_string(text, *subject, lean, *means)
 
 
 def resolution(
     segments: tuple[str, ...] = EXPLAINING_SEGMENTS, settings: Settings = DEFAULTS
 ) -> Column:
     """Text of the widest split; of equally wide ones the later candidate. Null without one."""
-    stories = [
-        (
-            "ver",
-            _story(
-                "ver",
-                F.lit("Verified reviewers are"),
-                ("more positive", "more negative"),
-                "unverified",
-            ),
-        )
-    ]
+    stories = [("ver", _story("ver", wording.VERIFIED_SPLIT, wording.VERIFIED_LEANS))]
     for i, segment in enumerate(segments):
-        subject = F.concat(capitalised(F.lit(segment)), F.lit(" travelers"))
-        stories.append(
-            (
-                f"s{i}",
-                _story(f"s{i}", subject, ("rate it higher", "rate it lower"), "for others"),
-            )
-        )
+        subject = capitalised(F.lit(segment))
+        text = _story(f"s{i}", wording.SEGMENT_SPLIT, wording.SEGMENT_LEANS, subject)
+        stories.append((f"s{i}", text))
     candidates = [
         F.when(
             F.abs(split_gap(prefix, settings)) >= settings.min_split_gap,

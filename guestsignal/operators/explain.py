@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from guestsignal.config import DEFAULTS, OVERALL, Settings
+from guestsignal.functions import wording
 from guestsignal.functions.numbers import rounded, signed_2dp
 from guestsignal.functions.taxonomy import DISPLAY_NAMES
 from guestsignal.operators.evidence import scored_rows
@@ -105,12 +106,8 @@ def contradiction_caveat(
     explained = F.when(
         F.trim(worst["resolution"]) != "", F.concat(F.lit(" "), worst["resolution"])
     )
-    return F.concat(
-        F.lit("Reviewers are split on "),
-        F.lower(shown_name(worst["aspect"], names)),
-        F.lit("."),
-        F.coalesce(explained, F.lit("")),
-    )
+    split = F.format_string(wording.SPLIT_CAVEAT, F.lower(shown_name(worst["aspect"], names)))
+    return F.when(worst.isNotNull(), F.concat(split, F.coalesce(explained, F.lit(""))))
 
 
 def packed_drift(drift: DataFrame, names: dict[str, str] = DISPLAY_NAMES) -> DataFrame:
@@ -157,18 +154,12 @@ def justification(
         ),
         ", ",
     )
-    place = F.concat(hotel_name, F.lit(" ranks #"), rank.cast("string"))
+    place = F.format_string(wording.RANK_PLACE, hotel_name, rank.cast("string"))
     core = F.when(
-        F.size(strong) > 0,
-        F.concat(
-            place,
-            F.lit(" for this traveler on "),
-            strengths,
-            F.lit(", weighted by what matters most to them."),
-        ),
-    ).otherwise(F.concat(place, F.lit(" as a strong all-round match.")))
-    quote = F.coalesce(first_quote, F.lit(""))
-    return F.concat(core, F.lit(' Guests note: "'), quote, F.lit('"'))
+        F.size(strong) > 0, F.format_string(wording.RANK_REASONS, place, strengths)
+    ).otherwise(F.format_string(wording.RANK_ALL_ROUND, place))
+    quoted = F.format_string(wording.QUOTED, core, F.coalesce(first_quote, F.lit("")))
+    return F.when(hotel_name.isNotNull() & rank.isNotNull(), quoted)
 
 
 def guard_text(

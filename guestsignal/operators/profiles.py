@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestsignal.config import DEFAULTS, Settings
+from guestsignal.functions import wording
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.taxonomy import (
     DEFAULT_RULES,
@@ -164,13 +165,11 @@ def profile_summary(
     shown = F.transform(
         F.slice(dims, 1, 3), lambda d: F.lower(shown_name(d["aspect"], names))
     )
-    return F.concat(
+    return F.format_string(
+        wording.PROFILE_SUMMARY,
         capitalised(traveler_type),
-        F.lit(" traveler ("),
         F.replace(budget, F.lit("_"), F.lit("-")),
-        F.lit(" budget) prioritizing "),
         F.array_join(shown, ", "),
-        F.lit("."),
     )
 
 

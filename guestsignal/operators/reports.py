@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guestsignal.config import OVERALL, SEASON_ORDER
+from guestsignal.functions import wording
 from guestsignal.functions.numbers import rounded
 from guestsignal.operators.evidence import scored_rows
 from guestsignal.operators.scale import global_row_number
 
-UNEXPLAINED = "Mixed views, no clear driver."
 SHOWN_TIERS = ("strong", "moderate")
 
 
@@ -82,7 +82,7 @@ def season_matrix(instances: DataFrame, hotel_id: str | None = None) -> DataFram
 def hotel_contradictions(contradictions: DataFrame, hotel_id: str, k: int = 5) -> DataFrame:
     return (
         contradictions.filter(F.col("hotel_id") == hotel_id)
-        .withColumn("resolution", F.coalesce("resolution", F.lit(UNEXPLAINED)))
+        .withColumn("resolution", F.coalesce("resolution", F.lit(wording.NO_DRIVER)))
         .orderBy(F.col("disagreement").desc(), "aspect")
         .limit(k)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from guestsignal.config import DEFAULTS, OVERALL, SEASON_ORDER, Settings
+from guestsignal.functions import wording
 from guestsignal.functions.bands import confidence_tier
 from guestsignal.functions.numbers import rounded
 from guestsignal.functions.tails import chi2_tail_udf, t_two_sided_udf
@@ -323,7 +324,7 @@ def seasonal_caveat(names: dict[str, str] = DISPLAY_NAMES) -> Column:
         F.col("aspect") != OVERALL
     )
     text = F.format_string(
-        "%s varies by season — strongest in %s, weakest in %s (%s confidence).",
+        wording.SEASON_CAVEAT,
         shown_name(F.col("aspect"), names),
         F.col("best_season"),
         F.col("worst_season"),
@@ -336,11 +337,11 @@ def trend_caveat(names: dict[str, str] = DISPLAY_NAMES) -> Column:
     shown = (
         F.col("trend_tier").isin("strong", "moderate", "weak") & F.col("trend_dir").isNotNull()
     )
-    name = F.when(F.col("aspect") == OVERALL, "Overall rating").otherwise(
+    name = F.when(F.col("aspect") == OVERALL, wording.OVERALL_NAME).otherwise(
         shown_name(F.col("aspect"), names)
     )
     text = F.format_string(
-        "%s has been %s over time (%s confidence).",
+        wording.TREND_CAVEAT,
         name,
         F.col("trend_dir"),
         F.col("trend_tier"),

@@ -56,5 +56,30 @@ def test_dedupe_is_limited_before_the_shuffle(spark):
     assert "row_number(), 1, Partial" in plan
 
 
+def test_reports_read_the_given_tables_once(spark, monkeypatch):
+    """One plan scans the line items, once, to store the instances; reports read those, and one for a
+    single hotel pushes its filter into the scan."""
+    from guestsignal.operators import scale
+    from guestsignal.plans import catalog_orders, catalog_profiles
+
+    stored, write = [], scale.materialise
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def noted(df, name="table"):
+        stored.append(text(df))
+        return write(df, name)
+
+    for module in ("scale", "temporal", "scoring", "ranking"):
+        monkeypatch.setattr(f"guestsignal.operators.{module}.materialise", noted)
+    for module in (catalog_orders, catalog_profiles):
+        monkeypatch.setattr(module, "materialise", noted)
+    for name in ("hotel_timeline", "top_movers", "raw_signals", "rank_hotels"):
+        stored.clear()
+        plan = text(entry.queries()[name](spark, SF_DIR))
+        assert sum(p.count("lineitem.parquet") for p in [*stored, plan]) == 1, name
+        if name == "hotel_timeline":
+            assert plan.count("EqualTo(hotel_id,7)") >= 2 and "EqualTo(hotel_id" in plan.split("PushedFilters")[1]
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0

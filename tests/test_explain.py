@@ -111,3 +111,27 @@ def test_submission_is_a_projection(spark):
     row = contracts.submission_output(rich(spark)).first()
     assert row.top_hotels[0].asDict() == {
         "rank": 1, "hotel_id": "h", "hotel_name": "n", "hotel_category": "c", "score": 5.4}
+
+
+def test_one_hotel_with_very_long_quotes_meets_all_picks(spark):
+    """All picks are of one hotel: they go to several tasks, and so do its quotes, of any size."""
+    long = "so good " * 40_000
+    quotes = explain.best_quotes(instances(spark, [("1", "a", long, 0.9, 1.0, 0), ("2", "b", "short", 0.5, 1.0, 0)]))
+    picks = [(f"i{k}", "solo", "mid", [("a", 0.6), ("b", 0.4)], 1, "h", "Inn", "3-star", 0.5, 3.0, [("a", 0.5)], 0.0) for k in range(400)]
+    described = spark.createDataFrame(picks, (
+        "intent string, traveler_type string, budget string, dim_weights array<struct<aspect:string,weight:double>>, rank int, "
+        "hotel_id string, hotel_name string, hotel_category string, composite double, display_score double, "
+        "contributions array<struct<aspect:string,score:double>>, drift_penalty double"))
+    split = spark.createDataFrame([("h", "b", 0.5, "Why not.")], "hotel_id string, aspect string, disagreement double, resolution string")
+    drift = spark.createDataFrame(
+        [("h", "a", "strong", "summer", "winter", "none", None), ("h", "overall", "none", None, None, "weak", "declining"),
+         ("h", "zz", "strong", "summer", "winter", "none", None), ("g", "a", "strong", "summer", "winter", "none", None)],
+        "hotel_id string, aspect string, seasonal_tier string, best_season string, worst_season string, trend_tier string, trend_dir string")
+    told = explain.explained_picks(described, quotes, split, {}, drift=drift).collect()
+    assert len(told) == 400
+    assert {tuple(e.quote for e in r.supporting_evidence) for r in told} == {(long, "short")}
+    assert {r.caveats for r in told} == {
+        "Reviewers are split on b. Why not. a varies by season — strongest in summer, weakest in winter (strong confidence). "
+        "Overall rating has been declining over time (weak confidence)."}
+    without = explain.explained_picks(described.limit(1), quotes, split.limit(0), {}).first()
+    assert without.caveats is None
