@@ -6,12 +6,12 @@ of each other's first size - ceil(t * size) + 1 shingles, so only these go into
 
 Index level: a list is cut into blocks of equal size and position, and a pair of blocks is
 skipped as a whole when no pair in it can reach the overlap.
-Answer level: in long lists all sets are first joined with one leader. What is then known about
+Answer level: all sets of a list are first joined with its leader. What is then known about
 two sets and their leader settles most of their pairs: same component, overlap too small
 (|x & y| <= |y & L| + |x - L|) or large enough (|x & y| >= |x & L| + |y & L| - |L|).
-Sets of long lists also carry a bit map of BITS parities: it differs in no more places than the
-sets do, which bounds their overlap. Before all pairs of a long list are looked at, each of its
-sets tries a few of the list's HUBS sets of least key that this bound leaves.
+Sets of lists from MAPPED_LIST on also carry a bit map of BITS parities: it differs in no more places
+than the sets do, which bounds their overlap. Before all pairs of a long list are looked at, each of
+its sets tries a few of the list's HUBS sets of least key that this bound leaves.
 Only pairs that are still open are verified on the sets themselves.
 """
 
@@ -33,8 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Counters of the frequency sketch (fixed size, so that every task can have it) and its chunks.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
-#: Lists of at least this length are joined with a leader first.
-LONG_LIST = 48
+#: Lists of at least this length carry bit maps; have hubs and are cut into blocks.
+MAPPED_LIST, LONG_LIST = 8, 48
 #: Parities in a set's bit map; sets of a long list that the others try first, and tries for each.
 BITS, HUBS, TRIES = 1024, 64, 6
 #: Postings a task packs at once, and index partitions for each shuffle partition.
@@ -198,11 +198,11 @@ def _postings(docs: DataFrame, levels, parts: int) -> DataFrame:
     return docs.mapInArrow(post, schema)
 
 
-LISTS = "list bigint, key bigint, size bigint, position bigint, leader bigint, leader_size bigint"
+LISTS = "list bigint, key bigint, size bigint, position bigint, leader bigint, leader_size bigint, members bigint"
 
 
 def _lists(group: pa.Table) -> pa.Table:
-    """The lists with two sets or more of one part; long ones name their least key as leader."""
+    """The lists with two sets or more of one part, led by their least key."""
     kinds = {"token": np.uint32, "key": np.int64, "size": np.uint32, "position": np.uint32}
     token, key, size, position = (
         np.concatenate([np.frombuffer(x.as_py(), kind) for x in group.column(name)])
@@ -219,12 +219,11 @@ def _lists(group: pa.Table) -> pa.Table:
     keep = length[of] > 1
     of, at = of[keep], np.flatnonzero(keep)
     lead = start[of]
-    has = length[of] >= LONG_LIST
     part = group.column("part")[0].as_py() if len(group) else 0
     return pa.table({
         "list": (np.int64(part) << 32) | token[at].astype(np.int64), "key": key[at],
         "size": size[at].astype(np.int64), "position": position[at].astype(np.int64),
-        "leader": pa.array(key[lead], mask=~has), "leader_size": pa.array(size[lead].astype(np.int64), mask=~has),
+        "leader": key[lead], "leader_size": size[lead].astype(np.int64), "members": length[of],
     })
 
 
@@ -240,9 +239,18 @@ def unlike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
-def short_pairs(of, size, position, side, bits, has):
-    """Pairs (indices) of neighbours in lists too short for blocks that may link; of: sorted."""
-    found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def settled_by_leader(a, b, size, overlap, lead_size):
+    """Pairs that their overlaps with a common leader rule out, and those they prove to link."""
+    known = (overlap[a] >= 0) & (overlap[b] >= 0)
+    least = needed(size[a], size[b])
+    most = np.minimum(overlap[b] + size[a] - overlap[a], overlap[a] + size[b] - overlap[b])
+    return known & (most < least), known & (overlap[a] + overlap[b] - lead_size[a] >= least)
+
+
+def short_pairs(of, size, position, side, overlap, lead_size, bits, has):
+    """Pairs (indices) of neighbours in lists too short for blocks that may link, and whether it
+    is sure; of: sorted."""
+    found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]]
     for step in range(1, LONG_LIST):
         a = np.flatnonzero(of[step:] == of[:-step])
         if not len(a):
@@ -253,15 +261,17 @@ def short_pairs(of, size, position, side, bits, has):
         fits = (np.minimum(position[a], position[b]) + rest >= least) & (side[a] != side[b])
         a, b, least = a[fits], b[fits], least[fits]
         fits = ~(has[a] & has[b]) | (size[a] + size[b] - unlike(bits[a], bits[b]) >= 2 * least)
-        found_a.append(a[fits])
-        found_b.append(b[fits])
-    return np.concatenate(found_a), np.concatenate(found_b)
+        a, b = a[fits], b[fits]
+        none, sure = settled_by_leader(a, b, size, overlap, lead_size)
+        for kept, rows in zip(found, (a[~none], b[~none], sure[~none])):
+            kept.append(rows)
+    return tuple(np.concatenate(kept) for kept in found)
 
 
-def open_pairs(key, size, position, comp, hub, overlap, hub_size, bits, has):
+def open_pairs(key, size, position, comp, overlap, lead_size, bits, has):
     """Pairs of one list that may link (indices), and those already known to link.
 
-    comp and hub are 0, overlap is -1 and has is False where nothing is known.
+    comp is 0, overlap is -1 and has is False where nothing is known.
     """
     order = np.lexsort((position, size))
     s, p = size[order], position[order]
@@ -288,12 +298,8 @@ def open_pairs(key, size, position, comp, hub, overlap, hub_size, bits, has):
         nothing = np.empty(0, np.int64)
         return nothing, nothing, np.empty(0, bool)
     a, b = np.concatenate(found_a), np.concatenate(found_b)
-    least = needed(size[a], size[b])
-    known = (overlap[a] >= 0) & (overlap[b] >= 0) & (hub[a] == hub[b])
-    most = np.minimum(overlap[b] + size[a] - overlap[a], overlap[a] + size[b] - overlap[b])
-    sure = known & (overlap[a] + overlap[b] - hub_size[a] >= least)
-    keep = ~(known & (most < least))
-    a, b, sure = a[keep], b[keep], sure[keep]
+    none, sure = settled_by_leader(a, b, size, overlap, lead_size)
+    a, b, sure = a[~none], b[~none], sure[~none]
     # one sure link between two components, or a set and a component, makes the others needless
     side = np.where(comp == 0, key, comp)
     low, high = np.minimum(side[a], side[b]), np.maximum(side[a], side[b])
@@ -309,22 +315,22 @@ def _pairs(group: pa.Table) -> pa.Table:
     """Open pairs of all lists of one part, with the number of lists they were open in."""
     column = lambda name, none: group.column(name).fill_null(none).to_numpy()
     order = np.argsort(column("list", 0), kind="stable")
-    names = (("list", 0), ("key", 0), ("size", 0), ("position", 0), ("comp", 0), ("leader", 0),
-             ("overlap", -1), ("leader_size", 0))
-    of, key, size, position, comp, hub, overlap, hub_size = (column(*n)[order] for n in names)
+    names = (("list", 0), ("key", 0), ("size", 0), ("position", 0), ("comp", 0), ("overlap", -1),
+             ("leader_size", 0))
+    of, key, size, position, comp, overlap, lead_size = (column(*n)[order] for n in names)
     bits, has = (x[order] for x in bit_maps(group.column("bits")))
     side = np.where(comp == 0, key, comp)
     start = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
     length = np.diff(np.append(start, len(of)))
     short = np.flatnonzero(np.repeat(length < LONG_LIST, length))
-    a, b = short_pairs(*(c[short] for c in (of, size, position, side, bits, has)))
-    out = [[short[a]], [short[b]], [np.zeros(len(a), bool)]]
+    a, b, sure = short_pairs(*(c[short] for c in (of, size, position, side, overlap, lead_size, bits, has)))
+    out = [[short[a]], [short[b]], [sure]]
     for lo, n in zip(start[length >= LONG_LIST], length[length >= LONG_LIST]):
         at = slice(lo, lo + n)
         if comp[lo] and (comp[at] == comp[lo]).all():
             continue
-        a, b, sure = open_pairs(key[at], size[at], position[at], comp[at], hub[at], overlap[at],
-                                hub_size[at], bits[at], has[at])
+        a, b, sure = open_pairs(key[at], size[at], position[at], comp[at], overlap[at], lead_size[at],
+                                bits[at], has[at])
         for k, v in enumerate((a + lo, b + lo, sure)):
             out[k].append(v)
     a, b, sure = (np.concatenate(c) for c in out)
@@ -452,39 +458,34 @@ def key_links(docs: DataFrame, rows: DataFrame, described: DataFrame) -> DataFra
     lists = stored(
         _postings(docs, levels, parts).groupBy("part").applyInArrow(_lists, LISTS), "lists"
     )
-    long = lists.filter("leader is not null")
-    if long.isEmpty():
-        early = None
-        blank = {"part": F.shiftright("list", 32), "overlap": F.lit(None).cast("bigint")}
-        blank |= {"comp": F.lit(None).cast("bigint"), "bits": F.lit(None).cast("binary")}
-        known = lists.withColumns(blank)
-    else:
-        led = long.filter("leader <> key").select(
-            F.col("key").alias("a"), F.col("leader").alias("b"),
-            F.col("size").alias("sa"), F.col("leader_size").alias("sb"),
-        )
-        candidates = led.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
-        # a leader is not in all lists of a set, so the number of lists proves nothing here
-        sizes_fit = F.least("sa", "sb") * DENOMINATOR >= F.greatest("sa", "sb") * NUMERATOR
-        first = stored(candidates.filter(sizes_fit & (F.col("shared") > 1)), "led")
-        checked = stored(_verify(docs, rows, first), "checked")
-        early = checked.filter(_linked()).select("a", "b")
-        seen = checked.select(
-            F.col("a").alias("key"), F.col("b").alias("leader"), F.col("overlap").alias("seen")
-        )
-        self_known = F.when(F.col("key") == F.col("leader"), F.col("size"))
-        maps = rows.join(long.select("key").distinct(), "key", "left_semi")
-        led_lists = (
-            lists.join(seen, ["key", "leader"], "left")
-            .withColumn("overlap", F.coalesce(self_known, "seen")).drop("seen")
-            .join(maps.groupBy("key").agg(F.first("bits").alias("bits")), "key", "left")
-        )
-        led_lists = stored(led_lists, "led-lists")
-        tried = _with_components(led_lists.filter("leader is not null"), early)
-        tried = stored(tried.groupBy("part").applyInArrow(_tries, TRIED).distinct(), "tried")
-        more = _verify(docs, rows, tried).filter(_linked()).select("a", "b")
-        early = stored(early.unionByName(more), "early")
-        known = _with_components(led_lists, early)
+    led = lists.filter("leader <> key").select(
+        F.col("key").alias("a"), F.col("leader").alias("b"),
+        F.col("size").alias("sa"), F.col("leader_size").alias("sb"),
+    )
+    candidates = led.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
+    # a leader is not in all lists of a set, so the number of lists proves nothing here
+    sizes_fit = F.least("sa", "sb") * DENOMINATOR >= F.greatest("sa", "sb") * NUMERATOR
+    first = stored(candidates.filter(sizes_fit & (F.col("shared") > 1)), "led")
+    checked = stored(_verify(docs, rows, first), "checked")
+    early = checked.filter(_linked()).select("a", "b")
+    seen = checked.select(
+        F.col("a").alias("key"), F.col("b").alias("leader"), F.col("overlap").alias("seen")
+    )
+    self_known = F.when(F.col("key") == F.col("leader"), F.col("size"))
+    mapped = lists.filter(F.col("members") >= MAPPED_LIST).select("key").distinct()
+    maps = rows.join(mapped, "key", "left_semi").groupBy("key").agg(F.first("bits").alias("_bits"))
+    led_lists = (
+        lists.join(seen, ["key", "leader"], "left")
+        .withColumn("overlap", F.coalesce(self_known, "seen")).drop("seen")
+        .join(maps, "key", "left")
+        .withColumn("bits", F.when(F.col("members") >= MAPPED_LIST, F.col("_bits"))).drop("_bits")
+    )
+    led_lists = stored(led_lists, "led-lists")
+    tried = _with_components(led_lists.filter(F.col("members") >= LONG_LIST), early)
+    tried = stored(tried.groupBy("part").applyInArrow(_tries, TRIED).distinct(), "tried")
+    more = _verify(docs, rows, tried).filter(_linked()).select("a", "b")
+    early = stored(early.unionByName(more), "early")
+    known = _with_components(led_lists, early)
     pairs = (
         known.groupBy("part").applyInArrow(_pairs, PAIRS)
         .groupBy("a", "b", "sa", "sb")
@@ -493,7 +494,7 @@ def key_links(docs: DataFrame, rows: DataFrame, described: DataFrame) -> DataFra
     opened = stored(pairs.filter(_may_link() | (F.col("sure") == 1)), "open")
     checked = _verify(docs, rows, opened.filter("sure = 0")).filter(_linked()).select("a", "b")
     links = opened.filter("sure = 1").select("a", "b").unionByName(checked)
-    return links if early is None else links.unionByName(early)
+    return links.unionByName(early)
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -532,11 +533,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
     text = F.coalesce(F.col("text"), F.lit(""))
     id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    own = docs.withColumns({"_id": id_, "_th": F.xxhash64(text), "_full": text.rlike("[^\\x20\\x09-\\x0D]")})
-    first = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.th").alias("_th"))
-    stay = own.filter("_full").join(first.hint("shuffle_hash"), ["_id", "_th"])
-    once = stay.dropDuplicates(["_id", "_th"])
-    return once.select(*docs.columns).unionByName(own.filter("not _full").select(*docs.columns))
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_.alias("id"), F.xxhash64(text).alias("th"),
+        text.rlike("[^\\x20\\x09-\\x0D]").alias("full"),
+    )
+    first = kept.select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+    stay = own.filter("full").join(first.hint("shuffle_hash"), ["id", "th"])
+    once = stay.dropDuplicates(["id", "th"])
+    return once.select("row.*").unionByName(own.filter("not full").select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
