@@ -203,13 +203,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` in which no benchmark item is found."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)),
-        "_th": F.xxhash64(F.coalesce("text", F.lit(""))),
-    })
-    return keyed.join(bad.hint("shuffle_hash"), ["_id", "_th"], "left_anti").select(*docs.columns)
+    """The rows of `docs`, all columns, in which no benchmark item is found; repeated rows stay or go
+    together."""
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("id"), "th").distinct()
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
+    )
+    return keyed.join(bad.hint("shuffle_hash"), ["id", "th"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,18 +50,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return levels.withColumn("target", share).drop("_cap", "_level")
 
 
+ADDED = ("source_size", "target", "epochs", "taken")
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """`docs` (doc_id, source, size; any other columns) with source_size, target, epochs, taken.
+    """`docs` (doc_id, source, size; any other columns) with source_size, target, epochs, taken;
+    columns of `docs` of these four names are replaced.
 
     epochs: whole passes over the source; taken: words taken, epochs included. The last pass
     ends inside the document where the rounded budget ends. Documents without words
     are never taken. Equal keys are ordered by doc_id and size.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumns({
-        "_gone": F.col("source").isNull().cast("int"), "_source": F.coalesce("source", F.lit("")),
-        "_key": F.xxhash64(F.lit(17), "doc_id", "size"),
-    })
+    others = [c for c in docs.columns if c not in ("doc_id", "size", *ADDED)]
+    keyed = docs.select(
+        "doc_id", "size", F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others"),
+        F.col("source").isNull().cast("int").alias("_gone"),
+        F.coalesce("source", F.lit("")).alias("_source"),
+        F.xxhash64(F.lit(17), "doc_id", "size").alias("_key"),
+    )
     order = ["_key", "doc_id", "size"]
     ranged = keyed.repartitionByRange(tasks(spark), "_gone", "_source", *order)
     staged = stored(ranged.withColumn("_part", F.spark_partition_id()), "mix")
@@ -82,9 +89,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     joined = summed.join(budgets, cell).withColumn("epochs", F.coalesce(epochs, F.lit(0)))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("_offset") - F.col("_before")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return joined.withColumn("taken", F.col("epochs") * F.col("size") + part).select(
-        *docs.columns, "source_size", "target", "epochs", "taken"
-    )
+    own = [F.col(f"_others.`{c}`" if c in others else c).alias(c) for c in docs.columns if c not in ADDED]
+    return joined.withColumn("taken", F.col("epochs") * F.col("size") + part).select(*own, *ADDED)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
