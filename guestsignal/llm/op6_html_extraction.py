@@ -184,11 +184,12 @@ def labelled(page: str) -> list[tuple[list[Block], list[bool]]]:
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     """Learn from the `sample` pages of least hash among those of at most LONGEST characters."""
-    rows = (
-        pages.filter(F.length("html") <= LONGEST)
-        .select(F.xxhash64("page_id", "html").alias("h"), "html")
-        .orderBy("h", "html").limit(sample).collect()
-    )
+    hashed = pages.filter(F.length("html") <= LONGEST).select(
+        F.xxhash64("page_id", "html").alias("h"), "html"
+    )
+    # hashes alone come first, so that only the chosen pages are sent
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = hashed.filter(F.col("h") <= last).orderBy("h", "html").limit(sample).collect() if last is not None else []
     return fit([case for row in rows for case in labelled(row.html)])
 
 
