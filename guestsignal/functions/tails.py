@@ -30,13 +30,18 @@ def chi2_tail(x: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz).
+
+    It needs some multiple of the root of the larger parameter steps; one that has not settled by
+    then raises.
+    """
     tiny = 1e-300
+    most = 400 + int(10 * math.sqrt(max(a.max(initial=0), b.max(initial=0))))
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     value = d.copy()
-    for m in range(1, 400):
+    for m in range(1, most):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for term in (even, odd):
@@ -46,23 +51,40 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             change = c * d
             value = value * change
-        if np.all(np.abs(change - 1.0) < 1e-15):
-            break
+        if np.all(np.abs(change - 1.0) < 1e-14):
+            return value
+    if len(x):
+        raise ArithmeticError("the continued fraction of a tail probability did not settle")
     return value
 
 
-def beta_cdf(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log of the beta function; for large parameters without the difference of huge logarithms."""
     log_gamma = np.vectorize(math.lgamma, otypes=[float])
-    inside = np.clip(x, 1e-300, 1.0 - 1e-16)
-    front = np.exp(
-        log_gamma(a + b) - log_gamma(a) - log_gamma(b)
-        + a * np.log(inside) + b * np.log1p(-inside)
-    )
-    direct = inside < (a + 1.0) / (a + b + 2.0)
-    lower = front * _beta_fraction(a, b, inside) / a
-    upper = 1.0 - front * _beta_fraction(b, a, 1.0 - inside) / b
-    value = np.where(direct, lower, upper)
-    return np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, value))
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    plain = log_gamma(large + small) - log_gamma(large)
+    series = small * np.log(large) + small * (small - 1.0) / (2.0 * large)
+    return log_gamma(small) - np.where((large > 1e6) & (small < 1e2), series, plain)
+
+
+def beta_cdf(
+    a: np.ndarray, b: np.ndarray, x: np.ndarray, rest: np.ndarray | None = None
+) -> np.ndarray:
+    """Regularised incomplete beta function; `rest` is 1 - x where that is known more exactly."""
+    rest = 1.0 - x if rest is None else rest
+    value = np.where(x <= 0.0, 0.0, 1.0)
+    inside = (x > 0.0) & (rest > 0.0)
+    a, b, x, rest = (v[inside] for v in (a, b, x, rest))
+    log_x = np.where(x < 0.5, np.log(x), np.log1p(-rest))
+    log_rest = np.where(rest < 0.5, np.log(rest), np.log1p(-x))
+    front = np.exp(a * log_x + b * log_rest - _log_beta(a, b))
+    # each point goes to the fraction that settles there
+    low = x < (a + 1.0) / (a + b + 2.0)
+    found = np.empty_like(x)
+    found[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
+    found[~low] = 1.0 - front[~low] * _beta_fraction(b[~low], a[~low], rest[~low]) / b[~low]
+    value[inside] = found
+    return value
 
 
 def t_two_sided(rho: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -71,7 +93,7 @@ def t_two_sided(rho: np.ndarray, n: np.ndarray) -> np.ndarray:
     rows = ~np.isnan(rho) & (n > 2)
     r, free = np.clip(np.abs(rho[rows]), 0.0, 1.0), n[rows] - 2.0
     if len(r):
-        out[rows] = beta_cdf(free / 2.0, np.full_like(free, 0.5), 1.0 - r * r)
+        out[rows] = beta_cdf(free / 2.0, np.full_like(free, 0.5), 1.0 - r * r, r * r)
     return out
 
 

@@ -53,6 +53,15 @@ def test_tail_values():
     assert beta_cdf(np.array([2.0]), np.array([3.0]), np.array([0.4]))[0] == pytest.approx(0.5248)
 
 
+def test_tails_of_very_large_cells():
+    """Close to the normal tail; the continued fraction settles for any size."""
+    for n in (1e3, 1e6, 1e9, 1e12):
+        z = np.array([0.1, 1.0, 1.959964, 4.0])
+        found = t_two_sided(z / np.sqrt(n - 2 + z * z), np.full(4, n))
+        assert found == pytest.approx([math.erfc(v / math.sqrt(2)) for v in z], rel=100 / n + 1e-4)
+    assert t_two_sided(np.array([0.3, 0.9]), np.array([1e6, 1e6])) == pytest.approx([0.0, 0.0], abs=1e-300)
+
+
 def test_kruskal_and_extremes_against_brute_force(spark):
     rng = random.Random(5)
     rows = [("h", a, rng.choice([-1, -0.4, 0.1, 0.1, 0.8]), s, i)
