@@ -40,11 +40,11 @@ from guestsignal.llm.shared import table, tasks
 from guestsignal.llm.vec import SPACE, chunks, string_buffer
 
 #: Code points of a leaf; letters from which on a pre-token is a tree of its own.
-LEAF, LONG = 1_024, 1_024
+LEAF, LONG = 2_048, 1_024
 #: Bytes from which on a text's stretches become rows for several tasks.
 SPREAD = 1 << 16
 #: Pieces and words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 60_000
+REMEMBERED = 200_000
 #: Texts that are encoded at once.
 ROWS = 256
 #: Tokens that are decoded at once.
