@@ -1,27 +1,27 @@
 """Exact top-k search on impact-ordered postings, score at a time.
 
-Components are quantised to integers. A shard of vectors has one posting list for each
-dimension, ordered by value; for a query the impact of a posting is its contribution
-to the inner product above the least one its dimension can give, so impacts are never negative.
-Segments are processed from high to low impact over all dimensions together. What a vector
-has gathered is its lower bound; each dimension not yet seen adds less than the current
-impact. When the vectors whose upper bound reaches the k-th best lower bound are few, no other can
-be in the answer: only these are rescored exactly. Without that proof, all segments
-are processed.
-
-Shards and query blocks have a fixed size; each pair of them is one small task row. Only k rows
-for each query and shard leave a task.
+Components are quantised to integers. A shard of vectors is an index of posting segments: the values
+that a block of its rows (sorted by their strongest dimension) has in a group of dimensions, with the
+least and the greatest value of each dimension. For a block of queries, the impact of a segment is what it can
+add to the inner product beyond its least. Row blocks come from high to low bound,
+and their segments from high to low impact; what a row has gathered plus what the segments not yet seen can
+add at most is its upper bound, and the k-th best score of a query so far is its floor, which is
+carried from block to block and from shard to shard. A row block stops on proof: when few of its rows
+can reach the floor, only these are rescored exactly; when none can, it is not looked at. Without
+that proof all its segments are processed, which makes one exact matrix product in parts.
+
+Equal rows (id and vector) are one row with a count, so no id or vector makes a shard larger than others.
+A task owns a block of queries and streams all shards past it; it keeps k rows for each query.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from guestsignal.llm.shared import stored, table, tasks
@@ -29,64 +29,118 @@ from guestsignal.llm.shared import stored, table, tasks
 K, SCALE, EVERY = 20, 64, 20
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 4096, 512
-#: Impact levels at which bounds are compared, as shares of the largest impact.
-LEVELS = (0.6, 0.45, 0.35, 0.27, 0.2, 0.14, 0.09, 0.05, 0.0)
+#: Rows and dimensions of a segment; the share of rows that is rescored rather than gathered further.
+SEGMENT_ROWS, SEGMENT_DIMS, FEW = 1024, 16, 1 / 64
 
 
 class Index:
-    """Postings of one shard: for each dimension, rows and values from low to high value."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        self.ids, self.values = ids, values
-        self.rows = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.rows.T, axis=0).T)
-
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best vectors, ties to the smaller id; one row equal to
-        the query in id and vector is left out."""
-        n = len(self.ids)
-        keep = np.ones(n, bool)
-        twin = np.flatnonzero(self.ids == own)
-        twin = twin[(self.values[twin] == query).all(axis=1)][:1]
-        keep[twin] = False
-        members = self._members(query, keep, k) if n - len(twin) > k else np.flatnonzero(keep)
-        scores = self.values[members] @ query
-        best = np.lexsort((self.ids[members], -scores))[:k]
-        return self.ids[members[best]], scores[best]
-
-    def _members(self, query: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best."""
-        n = len(self.ids)
-        used = np.flatnonzero(query)
-        impact = self.sorted[used] * query[used, None]
-        least = np.minimum(impact[:, 0], impact[:, -1])
-        impact -= least[:, None]
-        rows = self.rows[used]
-        most = impact.max(axis=1, initial=0)
-        gathered, seen = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        above = int(most.max(initial=0)) + 1
-        for share in LEVELS:
-            level = int(share * (most.max(initial=0)))
-            if level >= above:
+    """Posting segments of one shard."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, count: np.ndarray) -> None:
+        strong = np.abs(values).argmax(axis=1) if values.shape[1] else np.zeros(len(ids), np.int64)
+        most = np.take_along_axis(values, strong[:, None], 1)[:, 0] if values.shape[1] else strong
+        order = np.lexsort((most, strong))
+        self.ids, self.values, self.count = ids[order], values[order], count[order]
+        starts = np.arange(0, len(ids), SEGMENT_ROWS)
+        self.blocks = [slice(i, i + SEGMENT_ROWS) for i in starts]
+        self.low = np.array([self.values[b].min(axis=0) for b in self.blocks])
+        self.high = np.array([self.values[b].max(axis=0) for b in self.blocks])
+        self.by_id = np.argsort(self.ids, kind="stable")
+
+    def twins(self, ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs equal in id and vector; there is at most one row for each query."""
+        known = self.ids[self.by_id]
+        low, high = np.searchsorted(known, ids), np.searchsorted(known, ids, "right")
+        query = np.repeat(np.arange(len(ids)), high - low)
+        shift = np.arange(len(query)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        row = self.by_id[np.repeat(low, high - low) + shift]
+        same = (self.values[row] == queries[query]).all(axis=1)
+        return query[same], row[same]
+
+
+class Asked:
+    """A block of queries and the best rows they have met."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = ids, queries, k
+        self.floor = np.full(len(ids), -np.inf)
+        nothing = np.empty(0, np.int64)
+        self.query = self.row_id = self.score = self.count = nothing
+        self.processed = self.postings = 0
+
+    def meet(self, index: Index) -> None:
+        """One shard: row blocks by descending bound."""
+        kind = _exact_kind(self.queries, index.values)
+        queries, values = self.queries.astype(kind), index.values.astype(kind)
+        ends = queries[:, None] * index.low, queries[:, None] * index.high
+        least, most = np.minimum(*ends), np.maximum(*ends)
+        reach = most.sum(axis=2)
+        twin_query, twin_row = index.twins(self.ids, self.queries)
+        self.postings += len(queries) * values.size
+        for b in np.argsort(-reach.mean(axis=0), kind="stable"):
+            live = np.flatnonzero(reach[:, b] >= self.floor)
+            if not len(live):
                 continue
-            segment = (impact >= level) & (impact < above)
-            at = rows[segment]
-            gathered += np.bincount(at, weights=impact[segment], minlength=n).astype(np.int64)
-            seen += np.bincount(at, minlength=n)
-            above = level
-            if level == 0:
-                break
-            # a dimension not yet seen adds at most level - 1, and never more than its own most
-            rest = np.sort(np.minimum(most, level - 1))[::-1]
-            open_ = np.concatenate([[0], np.cumsum(rest)])[len(used) - seen]
-            lower = gathered[keep]
-            reach = np.partition(lower, len(lower) - k)[len(lower) - k]
-            may = keep & (gathered + open_ >= reach)
-            if np.count_nonzero(may) <= max(4 * k, n // 16):
-                return np.flatnonzero(may)
-        lower = gathered[keep]
-        reach = np.partition(lower, len(lower) - k)[len(lower) - k]
-        return np.flatnonzero(keep & (gathered >= reach))
+            rows = index.blocks[b]
+            who, row, score = self._members(
+                queries[live], values[rows], least[live, b], most[live, b], self.floor[live]
+            )
+            who, row = live[who], row + rows.start
+            count = index.count[row].copy()
+            # the row that asks is no answer, its repeats are
+            own = np.isin(who * len(index.ids) + row, twin_query * len(index.ids) + twin_row)
+            count[own] -= 1
+            self._keep(who[count > 0], index.ids[row[count > 0]], score[count > 0], count[count > 0])
+
+    def _members(self, queries, values, least, most, floor) -> tuple:
+        """(query, row, exact score) of all rows of one block that reach the floor, and others."""
+        impact = (most - least).sum(axis=0)
+        order = np.argsort(-impact, kind="stable")
+        gathered = np.zeros((len(queries), len(values)), queries.dtype)
+        rest = most.sum(axis=1)
+        for start in range(0, len(order), SEGMENT_DIMS):
+            dims = order[start : start + SEGMENT_DIMS]
+            gathered += queries[:, dims] @ values[:, dims].T
+            rest -= most[:, dims].sum(axis=1)
+            self.processed += len(queries) * len(values) * len(dims)
+            if start + SEGMENT_DIMS < len(order):
+                may = gathered >= (floor - rest)[:, None]
+                if np.count_nonzero(may) <= FEW * may.size:
+                    who, row = np.nonzero(may)
+                    return who, row, (queries[who] * values[row]).sum(axis=1)
+        # the query itself may be among the best: one more than k
+        if len(values) > self.k + 1 and np.isneginf(floor).any():
+            kth = np.partition(gathered, len(values) - self.k - 1, axis=1)[:, len(values) - self.k - 1]
+            floor = np.maximum(floor, kth)
+        who, row = np.nonzero(gathered >= floor[:, None])
+        return who, row, gathered[who, row]
+
+    def _keep(self, query, row_id, score, count) -> None:
+        query, row_id = np.append(self.query, query), np.append(self.row_id, row_id)
+        score, count = np.append(self.score, score.astype(np.int64)), np.append(self.count, count)
+        order = np.lexsort((row_id, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        order = order[place < self.k]
+        self.query, self.row_id = query[place < self.k], row_id[order]
+        self.score, self.count = score[order], count[order]
+        last = np.flatnonzero(place[place < self.k] == self.k - 1)
+        self.floor[self.query[last]] = self.score[last]
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query ids, ranks, row ids and scores, repeats of equal rows one by one."""
+        times = np.minimum(self.count, self.k)
+        query, row_id, score = (np.repeat(c, times) for c in (self.query, self.row_id, self.score))
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        keep = rank <= self.k
+        return self.ids[query[keep]], rank[keep], row_id[keep], score[keep]
+
+
+def _exact_kind(*parts: np.ndarray) -> type:
+    """The fastest number type in which all sums of products are exact."""
+    most = [float(np.abs(p).max(initial=0)) for p in parts]
+    bound = most[0] * most[1] * max(1, parts[0].shape[1])
+    return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -100,7 +154,7 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 
 
 def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
-    """One row for each dim and group: ids and values as bytes."""
+    """One row for each dim and group: ids, values and counts as bytes."""
 
     def pack(group: pa.Table) -> pa.Table:
         values = group.column("values").combine_chunks()
@@ -109,62 +163,81 @@ def _packed(rows: DataFrame, groups: int, name: str) -> DataFrame:
         return pa.table({
             "dim": group.column("dim").slice(0, 1), name: group.column(name).slice(0, 1),
             f"{name}_ids": [group.column("vec_id").to_numpy().tobytes()],
+            f"{name}_counts": [group.column("count").to_numpy().tobytes()],
             f"{name}_values": [flat.astype(np.int64).tobytes()],
         })
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(groups)).cast("int"))
-    schema = f"dim int, {name} int, {name}_ids binary, {name}_values binary"
-    return dealt.groupBy("dim", name).applyInArrow(pack, schema)
+    place = F.pmod(F.xxhash64(F.lit(3), "vec_id", "values"), F.lit(groups)).cast("int")
+    schema = f"dim int, {name} int, {name}_ids binary, {name}_counts binary, {name}_values binary"
+    return rows.withColumn(name, place).groupBy("dim", name).applyInArrow(pack, schema)
 
 
-def search(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE) -> DataFrame:
+def search(
+    vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE,
+    work: tuple[Accumulator, Accumulator] | None = None,
+) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of all other rows for each query row.
 
     vectors: vec_id, embedding; queries are the rows whose vec_id is divisible by `every`.
     Rows without id or vector, or with a null or non-finite component, take no part; vectors of
     different dimensions are not compared. A row that repeats a vec_id is a row of its own;
     query rows equal in vec_id and quantised vector are asked once, and are candidates for each
-    other. Scores must fit 64 bits.
+    other. Scores must fit 64 bits. An empty table gives an empty one. `work` counts the
+    (query, posting) pairs that were processed and those there are.
     """
     spark = vectors.sparkSession
-    rows = stored(quantised(vectors, scale), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "values"])
+    usable = quantised(vectors, scale)
+    rows = stored(usable.groupBy("vec_id", "values", "dim").agg(F.count(F.lit(1)).alias("count")), "vectors")
+    asked = rows.filter(F.col("vec_id") % every == 0)
     n, q = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
-    left = _packed(rows, shards, "shard")
     right = _packed(asked, blocks, "block")
     cells = (
-        left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(right, ["dim", "block"])
-        .repartition(max(tasks(spark), min(shards * blocks, 4 * tasks(spark))), "shard", "block")
+        _packed(rows, shards, "shard")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .join(right.select("dim", "block"), ["dim", "block"], "left_semi")
+        .select("dim", "block", "shard_ids", "shard_counts", "shard_values", F.lit(None).cast("binary").alias("ids"),
+                F.lit(None).cast("binary").alias("values"))
+    )
+    heads = right.select(
+        "dim", "block", *[F.lit(None).cast("binary").alias(f"shard_{c}") for c in ("ids", "counts", "values")],
+        F.col("block_ids").alias("ids"), F.col("block_values").alias("values"),
+    )
+    # the queries of a block come first, then the shards, one at a time
+    streamed = (
+        heads.unionByName(cells)
+        .repartition(max(tasks(spark), min(blocks, 4 * tasks(spark))), "dim", "block")
+        .sortWithinPartitions("dim", "block", F.col("ids").isNull())
+        .select("dim", "shard_ids", "shard_counts", "shard_values", "ids", "values")
     )
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+
+        def answer() -> pa.RecordBatch:
+            if work is not None:
+                work[0].add(block.processed)
+                work[1].add(block.postings)
+            columns = [c.astype(np.int64) for c in block.best()]
+            columns[1] = columns[1].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "rank", "vec_id", "score"])
+
         for batch in batches:
-            for cell in range(batch.num_rows):
-                get = lambda c: batch.column(c)[cell].as_py()  # noqa: B023, E731
-                read = lambda c: np.frombuffer(get(c), np.int64)  # noqa: B023, E731
-                dim = get("dim")
-                ids, query_ids = read("shard_ids"), read("block_ids")
-                index = Index(ids, read("shard_values").reshape(len(ids), dim))
-                queries = read("block_values").reshape(len(query_ids), dim)
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for own, query in zip(query_ids, queries):
-                    found, scores = index.top(own, query, k)
-                    mark = zlib.crc32(query.tobytes())
-                    for column, value in zip(out, (np.full(len(found), own), found, scores)):
-                        column.append(value)
-                    out[3].append(np.full(len(found), mark))
-                names = ("query_id", "vec_id", "score", "mark")
-                yield pa.RecordBatch.from_pydict(
-                    {c: np.concatenate(v).astype(np.int64) for c, v in zip(names, out)}
-                )
-
-    schema = "query_id bigint, vec_id bigint, score bigint, mark bigint"
-    found = cells.mapInArrow(find, schema)
-    order = W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+            for at in range(batch.num_rows):
+                read = lambda c: np.frombuffer(batch.column(c)[at].as_py(), np.int64)  # noqa: B023, E731
+                dim = batch.column("dim")[at].as_py()
+                if batch.column("ids")[at].is_valid:
+                    if block is not None:
+                        yield answer()
+                    ids = read("ids")
+                    block = Asked(ids, read("values").reshape(len(ids), dim), k)
+                else:
+                    ids = read("shard_ids")
+                    block.meet(Index(ids, read("shard_values").reshape(len(ids), dim), read("shard_counts")))
+        if block is not None:
+            yield answer()
+
+    return streamed.mapInArrow(find, "query_id bigint, rank int, vec_id bigint, score bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
