@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guestsignal.config import DEFAULTS, Settings
+from guestsignal.operators.scale import materialise
 
 
 def submission_output(rich: DataFrame) -> DataFrame:
@@ -65,19 +66,26 @@ def _rules(settings: Settings) -> dict[str, Column]:
 def contract_violations(
     rich: DataFrame, profiles: DataFrame | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """(profile_id, rule) of every broken rule; with `profiles`, also those without output."""
+    """(profile_id, rule) of every broken rule; with `profiles`, also those without output.
+
+    Records are long and dear to make, so what they break is stored and only ids meet the profiles. Both
+    sides are sorted for that: columns of ids take far more memory than their files, by which
+    Spark would choose to send one to all tasks.
+    """
     checks = F.array(
         *[
             F.when(~F.coalesce(holds, F.lit(False)), rule)
             for rule, holds in _rules(settings).items()
         ]
     )
-    broken = rich.select(
-        "profile_id", F.explode(F.array_compact(checks)).alias("rule")
-    )
+    checked = rich.select("profile_id", F.array_compact(checks).alias("_broken"))
+    if profiles is not None:
+        checked = materialise(checked, "checked")
+    broken = checked.select("profile_id", F.explode("_broken").alias("rule"))
     if profiles is None:
         return broken
-    silent = profiles.join(rich, "profile_id", "left_anti").select(
+    known = checked.select("profile_id").hint("merge")
+    silent = profiles.select("profile_id").join(known, "profile_id", "left_anti").select(
         "profile_id", F.lit("no recommendation").alias("rule")
     )
     return broken.unionByName(silent)
