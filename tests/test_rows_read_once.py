@@ -21,7 +21,7 @@ def reviews(spark):
 
 def test_values_of_the_same_rows_need_one_pass(spark):
     rows = reviews(spark)
-    once, twice = temporal.test_values(rows, rows), temporal.test_values(rows, rows.select("*"))
+    once, twice = temporal.values_in_one_pass(rows), temporal.test_values(rows, rows)
     assert once.schema.simpleString() == twice.schema.simpleString()
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
     assert "Union" not in once._jdf.queryExecution().optimizedPlan().toString()
@@ -29,7 +29,7 @@ def test_values_of_the_same_rows_need_one_pass(spark):
 
 def test_both_tests_read_stored_tie_blocks(spark):
     rows = reviews(spark)
-    plan = temporal.drift_tests(temporal.test_values(rows, rows))._jdf.queryExecution().executedPlan().toString()
+    plan = temporal.drift_tests(temporal.values_in_one_pass(rows), store_ties=True)._jdf.queryExecution().executedPlan().toString()
     assert "/ties-" in plan and "review_date" not in plan
 
 
