@@ -82,3 +82,21 @@ def test_global_row_number_over_heavy_ties(spark):
     expected = [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     assert [r.id for r in numbered.orderBy("place").collect()] == expected
     assert {r.place for r in numbered.collect()} == set(range(1, 501))
+
+
+def test_global_step_up_over_ties_reads_no_frame_to_the_end_for_each_row(spark):
+    rng = random.Random(5)
+    rows = [(f"h{i % 900}", "a", rng.choice([0.0, 0.01, 0.5, 1.0, rng.random() ** 3])) for i in range(1800)]
+    rows += rows[:40] + [(None, "b", 0.02), ("h1", None, 0.5)]
+    table = scale.materialise(spark.createDataFrame(rows, "hotel_id string, aspect string, p double").repartition(6))
+    adjusted = scale.global_step_up(table, "p", ["hotel_id", "aspect"], "adj")
+    plan = adjusted._jdf.queryExecution().executedPlan().toString()
+    # Spark reads such a frame anew for each row: the square of a range's rows
+    assert "Window" in plan and "unboundedfollowing" not in plan.lower()
+    expected, least = {}, 1.0
+    for rank, p in reversed(list(enumerate(sorted(r[2] for r in rows), 1))):
+        least = min(least, p * len(rows) / rank)
+        expected[p] = min(least, expected.get(p, 1.0))
+    found = adjusted.collect()
+    assert sorted(((r.hotel_id, r.aspect, r.p) for r in found), key=str) == sorted(rows, key=str)
+    assert all(abs(r.adj - expected[r.p]) < 1e-12 for r in found)
